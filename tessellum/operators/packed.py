@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -111,50 +112,59 @@ def readings(text: str) -> tuple[str, list[tuple[str, list[str], float]]]:
     wraps = [""] + [w for w in WRAPPERS if body.startswith(w)]
     seen: dict[tuple[str, ...], tuple[str, list[str], float]] = {}
     for wrap in reversed(wraps):
-        inner = body
-        if wrap:
-            inner = body[1:-1] if body.endswith(WRAPPERS[wrap]) and len(body) > 1 else body[1:]
         for qs in reversed(list(_subsets(quotes))):
             for ds in _subsets(delimiters):
-                if ds not in _patterns:
-                    _patterns[ds] = re.compile("|".join(DELIMITERS[d] for d in ds))
-                values = [v for v in split(inner, "".join(qs), _patterns[ds]) if v and v.lower() != "nan"]
+                dialect = f"{wrap}\x1f{''.join(qs)}\x1f{'+'.join(ds)}"
+                values = read(text, dialect)
                 left = sum(RESIDUE_BITS * len(_EDGE.findall(v)) + INSIDE_BITS * len(_INSIDE.findall(v)) for v in values)
-                key = tuple(values)
-                if key not in seen:
-                    seen[key] = (f"{wrap}{''.join(qs)} {'+'.join(ds)}", values, left)
+                seen.setdefault(tuple(values), (dialect, values, left))
     return f"{''.join(wraps)}{''.join(quotes)} {'+'.join(delimiters)}", list(seen.values())
 
 
+def read(text: str, dialect: str) -> list[str]:
+    """The values of a field in a dialect."""
+    wrap, quotes, names = dialect.split("\x1f")
+    ds = tuple(names.split("+")) if names else ()
+    if ds not in _patterns:
+        _patterns[ds] = re.compile("|".join(DELIMITERS[d] for d in ds))
+    body = text.strip()
+    if wrap:
+        body = body[1:-1] if body.endswith(WRAPPERS[wrap]) and len(body) > 1 else body[1:]
+    return [v for v in split(body, quotes, _patterns[ds]) if v and v.lower() != "nan"]
+
+
 def _normal(value: str) -> str:
     return re.sub(r"\s+", " ", value).lower()
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _all_readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for text in pdf["text"]:
             signature, found = readings(text)
-            context = "".join(c for c in text.lower() if c.isalnum())
+            ids = (_hash(text), _hash("".join(c for c in text.lower() if c.isalnum())))
             for n, (dialect, values, left) in enumerate(found):
                 keys = [_normal(v) for v in values]
-                rows.append((text, context, n, len(found), signature, dialect, left, values, keys))
-        yield pd.DataFrame(rows, columns=["text", "context", "n", "of", "signature", "dialect", "residue", "vals", "keys"])
+                rows.append((*ids, n, len(found), signature, dialect, left, [_hash(k) for k in keys], [len(k) for k in keys]))
+        yield pd.DataFrame(rows, columns=["field", "context", "n", "of", "signature", "dialect", "residue", "keys", "lens"])
 
 
 _READINGS = (
-    "text string, context string, n int, of int, signature string, dialect string, residue double, "
-    "vals array<string>, keys array<string>"
+    "field long, context long, n int, of int, signature string, dialect string, residue double, "
+    "keys array<long>, lens array<int>"
 )
 
 
 def _score(cands: DataFrame, weighted: DataFrame) -> DataFrame:
     """``cands`` with ``bits``; ``weighted`` has the readings that make the codes and, in
-    ``weight``, how much each counts."""
-    support = (
-        weighted.select("text", "context", "weight", F.explode(F.array_distinct("keys")).alias("key"))
-        .groupBy("text", "context", "key")
-    ).agg(F.sum("weight").alias("part"))
+    ``weight``, how much each counts. Texts, contexts and values are 64-bit hashes here; a
+    text is told apart by two of them."""
+    support = weighted.select("field", "context", "weight", F.explode(F.array_distinct("keys")).alias("key"))
+    support = support.groupBy("field", "context", "key").agg(F.sum("weight").alias("part"))
     support = support.groupBy("context", "key").agg(F.max("part").alias("own"))
     codes = support.groupBy("key").agg(F.sum("own").alias("mass"))
     total = codes.agg(F.sum("mass").alias("total"))
@@ -164,16 +174,19 @@ def _score(cands: DataFrame, weighted: DataFrame) -> DataFrame:
         "dialect",
         (-F.log2((F.col("uses") + 0.5) / (F.sum("uses").over(W.partitionBy("signature")) + 2))).alias("dialect_bits"),
     )
-    each = cands.select("text", "context", "n", F.explode_outer("keys").alias("key"))
+    each = cands.select("field", "context", "n", F.explode_outer(F.arrays_zip("keys", "lens")).alias("v"))
+    each = each.select("field", "context", "n", F.col("v.keys").alias("key"), F.col("v.lens").alias("len"))
     each = each.join(codes, "key", "left").join(support, ["context", "key"], "left")
     each = each.crossJoin(F.broadcast(total))  # total is one row
     seen = F.greatest(F.coalesce("mass", F.lit(0.0)) - F.coalesce("own", F.lit(0.0)), F.lit(0.0))
-    spelled = F.pow(F.lit(2.0), -SPELL_BITS * F.least(F.length("key"), F.lit(200)))
-    far = SPELL_BITS * F.greatest(F.length("key") - 200, F.lit(0))
+    spelled = F.pow(F.lit(2.0), -SPELL_BITS * F.least("len", F.lit(200)))
+    far = SPELL_BITS * F.greatest(F.col("len") - 200, F.lit(0))
     bits = far - F.log2((1 - ESCAPE) * seen / F.greatest("total", F.lit(1.0)) + ESCAPE * spelled)
-    costs = each.groupBy("text", "n").agg(F.sum(F.when(F.col("key").isNull(), 0.0).otherwise(bits)).alias("value_bits"))
+    costs = each.groupBy("field", "context", "n").agg(
+        F.sum(F.when(F.col("key").isNull(), 0.0).otherwise(bits)).alias("value_bits")
+    )
     return (
-        cands.join(costs, ["text", "n"])
+        cands.join(costs, ["field", "context", "n"])
         .join(dialects, ["signature", "dialect"], "left")
         .withColumn(
             "bits",
@@ -184,23 +197,44 @@ def _score(cands: DataFrame, weighted: DataFrame) -> DataFrame:
 
 
 def _best(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("text").agg(
-        F.min_by(F.struct("context", "signature", "dialect", "vals", "keys"), F.struct(F.round("bits", 6), F.col("n"))).alias("best")
+    return (
+        scored.groupBy("field", "context")
+        .agg(F.min_by(F.struct("signature", "dialect", "keys"), F.struct(F.round("bits", 6), F.col("n"))).alias("best"))
+        .select("field", "context", "best.*")
     )
 
 
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame(
+            {"text": pdf["text"], "dialect": pdf["dialect"], "vals": [read(t, d) for t, d in zip(pdf["text"], pdf["dialect"])]}
+        )
+
+
 def choose_dialects(texts: DataFrame) -> DataFrame:
     """(text, dialect, vals) for each distinct value of the column ``text``."""
     fields = texts.select("text").where(has_value("text")).distinct()
+    fields = cut(fields, "fields")
     cands = cut(fields.mapInPandas(_all_readings, _READINGS), "readings")
-    first = cut(_best(_score(cands, cands.withColumn("weight", 1 / F.col("of")))).select("text", "best.*"), "dialects")
-    chosen = _best(_score(cands, first.withColumn("weight", F.lit(1.0))))
-    out = cut(chosen.select("text", F.col("best.dialect").alias("dialect"), F.col("best.vals").alias("vals")), "parsed")
-    drop(first)
+    first = cut(_best(_score(cands, cands.withColumn("weight", 1 / F.col("of")))), "dialects")
+    # second estimate: a field supports just the values of the reading chosen for it
+    chosen = cut(_best(_score(cands, first.withColumn("weight", F.lit(1.0)))).select("field", "context", "dialect"), "chosen")
     drop(cands)
+    drop(first)
+    keyed = fields.mapInPandas(_keyed, "text string, field long, context long").join(chosen, ["field", "context"])
+    out = cut(keyed.select("text", "dialect").mapInPandas(_parse, "text string, dialect string, vals array<string>"), "parsed")
+    drop(fields)
+    drop(chosen)
     return out
 
 
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = list(pdf["text"])
+        contexts = [_hash("".join(c for c in t.lower() if c.isalnum())) for t in texts]
+        yield pd.DataFrame({"text": texts, "field": [_hash(t) for t in texts], "context": contexts})
+
+
 def unpack(df: DataFrame, ids: list[str], col: str | Column, least: int = 1) -> DataFrame:
     """Columns ``ids`` of ``df`` with ``pos`` (from 1) and ``val``, a row for each value of
     the packed field ``col``; only of fields with at least ``least`` values.
