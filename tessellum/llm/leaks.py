@@ -189,14 +189,13 @@ def matches(item: list[str], region: list[str], rule: Rule) -> bool:
 
 
 def _aligned(at: list, i: int, size: int, rule: Rule) -> bool:
-    # states: place of the last match -> least (altered, added) so far; at most `altered` words
-    # are skipped, so a chain starts at one of the first words of the window
+    # states: place of the last match -> (altered, added, index of the last match) so far. The
+    # overlap must span the window: it starts with a match and goes on to one at or beyond the
+    # window's end, so a shorter overlap isn't stretched by words counted as altered
     best: dict[int, list[tuple[int, int, int]]] = {}
-    for k in range(size):
+    for k in range(min(size + rule.altered, len(at) - i)):
         for j in at[i + k]:
-            options = []
-            if k <= rule.altered:
-                options.append((k, 0, k))  # (altered, added, index of the last match)
+            options = [(0, 0, 0)] if k == 0 else []
             for p in range(j - 1, max(-1, j - 2 - rule.added - rule.altered), -1):
                 for altered, added, kp in best.get(p, ()):
                     if kp >= k:
@@ -207,9 +206,8 @@ def _aligned(at: list, i: int, size: int, rule: Rule) -> bool:
                         options.append((altered + skipped, added + extra, k))
             if not options:
                 continue
-            for altered, added, _ in options:
-                if altered + (size - 1 - k) <= rule.altered:
-                    return True
+            if k >= size - 1:
+                return True
             kept = best.setdefault(j, [])
             for o in set(options):
                 if not any(a <= o[0] and b <= o[1] and c == o[2] for a, b, c in kept):

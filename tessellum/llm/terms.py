@@ -66,6 +66,9 @@ def texts(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return df.select(F.inline(pairs), sign.alias("sign")).where(has_value("text"))
 
 
+_MANIFEST = "n long, batch string, held map<int,string>, records map<string,long>"
+
+
 class TermStore:
     """Persistent counts of the fields in ``fields`` (column name to splitter name)."""
 
@@ -79,7 +82,7 @@ class TermStore:
     def _open(self) -> None:
         if not scratch.exists(self.spark, f"{self.path}/manifest"):
             return
-        rows = self.spark.read.json(f"{self.path}/manifest/*", schema="n long, batch string, held map<int,string>, records map<string,long>")
+        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/*")
         rows = sorted(rows.collect(), key=lambda r: r.n)  # a row for each batch
         for r in rows:
             self.batches.append(r.batch)
@@ -145,8 +148,7 @@ class TermStore:
                     held.pop(b, None)
         records = {f: self.records.get(f, 0) + added.get(f, 0) for f in self.fields}
         row = [(len(self.batches), batch, held, records)]
-        schema = "n long, batch string, held map<int,string>, records map<string,long>"
-        self.spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{batch}")
+        self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch}")
         self.batches.append(batch)
         self.held, self.records = held, records
         scratch.drop(by_text)
