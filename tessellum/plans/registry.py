@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import data_problems
+from tessellum.plans import data_problems, reference
 
-MODULES = [data_problems]
+MODULES = [data_problems, reference]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return data_problems.p2_found(spark, directory)
+    return reference.gen2_overlap_variants(spark, directory)
