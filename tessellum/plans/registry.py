@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import data_problems, reference
+from tessellum.plans import data_problems, reference, shared_sql
 
-MODULES = [data_problems, reference]
+MODULES = [data_problems, reference, shared_sql]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,81 @@
+"""Operators whose statement is the same SQL in Spark and in the checking engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessellum.sources.tables import table
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "table_gt", "column_gt", "label_ref", "benchmark")
+
+_COLS = """cols as (select fileName f, col_id, row_number() over (partition by fileName order by col_id) - 1 idx,
+    case when vals is null or trim(vals) = '' then 1 else 0 end emp, length(coalesce(vals, '')) len,
+    case when lower(colName) like '%name%' then 1 else 0 end ne from column_gt)"""
+_EDGE = "e as (select c_nationkey parent, c_mktsegment child, count(*) weight from customer group by c_nationkey, c_mktsegment)"
+_LAB = "l as (select c_custkey item, c_nationkey % 4 cl, c_nationkey % 3 gt from customer where c_custkey <= 400)"
+
+STATEMENTS: dict[str, str] = {
+    # projections, running and ranking windows
+    "prj2_reverse_columns": f"with {_COLS} select f, col_id, max(idx) over (partition by f) - idx new_idx from cols",
+    "prj3_leftmost_entities": f"with {_COLS}, r as (select f, col_id, idx, coalesce(sum(ne) over (partition by f order by idx rows between unbounded preceding and 1 preceding), 0) seen from cols) select f, col_id, idx from r where seen < 2",
+    "win4_lightest_edges": f"with {_EDGE}, r as (select *, row_number() over (order by weight, parent, child) r, count(*) over () n from e) select parent, child, weight from r where r <= cast(floor(0.1 * n) as bigint)",
+    "win6_every_nth": "with r as (select event_id, row_number() over (order by event_id) - 1 pos, count(*) over () n from events) select event_id from r where pos % cast(ceil(n / 128.0) as bigint) = 0",
+    "win7_forward_mean": "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between current row and 3 following), 6) m from events",
+    "win8_distance_to_entity": f"with {_COLS} select f, col_id, idx - min(case when ne = 1 then idx end) over (partition by f) df from cols",
+    "srt1_largest_groups": "select fileName, count(*) n from column_gt group by fileName order by n desc, fileName limit 20",
+    "lim1_head": f"with {_COLS} select f, col_id from cols where idx < 3",
+    # joins
+    "jn1_lookup": "select c.c_custkey, n.n_name from customer c join nation n on c.c_nationkey = n.n_nationkey",
+    "jn2_composite_lookup": "select distinct a.col_id, b.ColumnLabel from column_gt a join column_gt b on a.fileName = b.fileName and a.colName = b.colName where b.ColumnLabel is not null and a.fileName <> 'merged_portal_export.csv'",
+    "jn3_correlated_update": "select c.col_id, coalesce(r.label, c.ColumnLabel) label from column_gt c left join label_ref r on lower(c.ColumnLabel) = r.alt_label",
+    "jn4_unordered_pairs": "select a.s_suppkey i, b.s_suppkey j from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey",
+    "jn7_default_membership": "select c.col_id, coalesce(r.label_id, -1) label_id from column_gt c left join label_ref r on c.ColumnLabel = r.label",
+    "jn13_aligned_concat": "with a as (select o_orderpriority k, count(*) n from orders where o_orderstatus = 'F' group by o_orderpriority), b as (select o_orderpriority k, count(*) m from orders where o_orderstatus = 'P' group by o_orderpriority) select coalesce(a.k, b.k) k, a.n, b.m from a full outer join b on a.k = b.k",
+    # sets
+    "set1_intersection": "select c_nationkey k from customer intersect select s_nationkey from supplier",
+    "set1_difference": "select c_custkey k from customer except select o_custkey from orders",
+    "set4_union_all": "select 'c' src, c_nationkey k from customer union all select 's', s_nationkey from supplier",
+    "set5_ordered_distinct": "select lower(colName) k, min(col_id) first_id from column_gt where colName is not null group by lower(colName)",
+    # aggregates
+    "agg7_majority_list": "with c as (select class, superclass, count(*) n from table_gt where class is not null and superclass is not null group by class, superclass), r as (select *, row_number() over (partition by class order by n desc, superclass) r from c) select class, superclass, n from r where r = 1",
+    "agg13_mean_metric": "select o_orderpriority k, round(avg(o_totalprice), 4) m from orders group by o_orderpriority",
+    "agg17_path_length": "select round(avg(length(superclass) - length(replace(superclass, ',', '')) + 1), 6) mean_len, max(length(superclass) - length(replace(superclass, ',', '')) + 1) max_len from table_gt where superclass like '[%'",
+    "agg19_best_keys": "with c as (select user_id, event_type, sum(value) s from events group by user_id, event_type), r as (select *, rank() over (partition by user_id order by s desc) r from c) select user_id, event_type from r where r = 1",
+    "agg20_bag_union": "with b as (select lang, source, count(*) n from documents group by lang, source) select source, max(n) n from b group by source",
+    "cache2_resume": "select fileName from table_gt where fileName not in (select fileName from column_gt where fileName is not null) ",
+    "snk3_upsert": "with old as (select n_nationkey k, n_name v from nation), new as (select c_nationkey k, max(c_name) v from customer where c_nationkey < 10 group by c_nationkey) select k, v from new union all select k, v from old where k not in (select k from new)",
+    # profiling and subject scores
+    "sc8_length_variance": "select fileName, round(var_samp(length(vals)), 4) tlc from column_gt where vals is not null group by fileName",
+    "sc10_subject_score": f"with {_COLS}, s as (select f, col_id, (1.0 - emp) / sqrt(idx + 1.0) score from cols) select f, col_id, round(score, 6) score from s",
+    "sc11_subject_columns": f"with {_COLS}, s as (select f, col_id, round((1.0 - emp) / sqrt(idx + 1.0), 6) score from cols), r as (select *, rank() over (partition by f order by score desc) r from s) select f, col_id from r where r = 1",
+    "sc12_score_weights": f"with {_COLS}, s as (select f, col_id, case when emp = 1 then 0e0 else 1e0 / (idx + 1e0) end w from cols) select f, col_id, round(case when sum(w) over (partition by f) > 0 then w / sum(w) over (partition by f) else 1e0 / count(*) over (partition by f) end, 6) w from s",
+    "sc13_first_entity": f"with {_COLS} select f, min(case when ne = 1 then idx end) first_ne from cols group by f",
+    # evaluation
+    "m_ri_overlap": f"with {_LAB} select round(avg(case when (a.cl = b.cl) = (a.gt = b.gt) then 1e0 else 0e0 end), 6) ri from l a join l b on a.item < b.item",
+    "m_wrong_pairs": f"with {_LAB} select a.item i, b.item j from l a join l b on a.cl = b.cl and a.item < b.item where a.gt <> b.gt and a.item <= 40",
+    "m_prf": "with g as (select distinct n_nationkey k from nation), r as (select distinct c_nationkey k from customer where c_custkey % 7 = 0 union select s_nationkey + 20 from supplier), h as (select count(*) h from r join g on r.k = g.k) select round(h / (select count(*) from r), 6) p, round(h / (select count(*) from g), 6) rec, round(2e0 * h / ((select count(*) from r) + (select count(*) from g)), 6) f1 from h",
+    "m_gt_index": "select class, count(distinct fileName) files, dense_rank() over (order by class) idx from table_gt where class is not null group by class",
+    "m_layer_purity": f"with {_LAB}, c as (select cl % 2 layer, cl, gt, count(*) n from l group by cl, gt), b as (select layer, cl, max(n) hit, sum(n) n from c group by layer, cl) select layer, round(cast(sum(hit) as double) / cast(sum(n) as double), 6) purity from b group by layer",
+    # relations and attributes
+    "p4b_group_files": "select fileName, case when superclass like '%Place%' then 'Place' when class is not null then class else 'none' end grp from table_gt",
+    "p4c_relationships": "with p as (select c.c_nationkey t1, s.s_nationkey t2, c.c_custkey x from customer c join orders o on c.c_custkey = o.o_custkey join lineitem l on l.l_orderkey = o.o_orderkey join supplier s on s.s_suppkey = l.l_suppkey), n as (select c_nationkey t1, count(*) total from customer group by c_nationkey), r as (select t1, t2, count(distinct x) sup from p group by t1, t2) select r.t1, t2, round(sup / total, 6) portion from r join n on r.t1 = n.t1 where sup / total >= 0.6",
+    "ar_list_attributes": "select t.class, count(distinct lower(c.ColumnLabel)) attrs from table_gt t join column_gt c on t.fileName = c.fileName where t.class is not null and c.ColumnLabel is not null group by t.class",
+    "e2e_cnt_types": "select superclass, count(distinct class) types from table_gt where superclass is not null group by superclass",
+    "gen1_size_variants": "with k as (select gt_id, class, row_number() over (order by md5(concat('1|', fileName)), gt_id) r, count(*) over () n from table_gt) select class, count(*) n from k where r <= cast(round(n * 0.25) as bigint) and class is not null group by class",
+    "gen5_tables_per_leaf": "with k as (select class, fileName, row_number() over (partition by class order by md5(concat('5|', fileName)), gt_id) r from table_gt where class is not null) select class, fileName from k where r <= 2",
+    "rpt2_recall_summary": "select c_mktsegment m, round(avg(case when c_acctbal > 0 then 1e0 else 0e0 end), 6) recall, count(*) n from customer group by c_mktsegment",
+}
+
+
+def _runner(sql: str):
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        for name in TABLES:
+            if name in sql:
+                table(spark, directory, name).createOrReplaceTempView(name)
+        return spark.sql(sql)
+
+    return run
+
+
+QUERIES = {name: _runner(sql) for name, sql in STATEMENTS.items()}
+SQL = dict(STATEMENTS)
