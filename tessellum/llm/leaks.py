@@ -109,6 +109,17 @@ class Items:
             least = min(least, grams - lost)
         return max(1, least)
 
+    def _enough_words(self, n: int, vocabulary: set[str]) -> bool:
+        """Whether any window of the item has enough words that the text has anywhere."""
+        size, need = self.rule.words, self.rule.words - self.rule.altered
+        hits = [w in vocabulary for w in self.words[n]]
+        have = sum(hits[:size])
+        for i in range(size, len(hits)):
+            if have >= need:
+                return True
+            have += hits[i] - hits[i - size]
+        return have >= need
+
     def found(self, words: list[str], piece: int = 30_000) -> list[int]:
         """Ids of the items that a document of these words contains. Long documents are
         searched in pieces that overlap by more than a match can be long."""
@@ -131,7 +142,13 @@ class Items:
         spots = np.repeat(hit, times)
         ends = np.cumsum(times)
         entry = np.repeat(self.start[gram] - ends + times, times) + np.arange(len(spots))
-        item, shift = self.owner[entry], spots - self.place[entry]
+        item = self.owner[entry]
+        # no band holds more than the whole text
+        enough = (np.bincount(item, minlength=len(self.ids)) >= self.bounds)[item]
+        if not enough.any():
+            return []
+        item, spots, entry = item[enough], spots[enough], entry[enough]
+        shift = spots - self.place[entry]
         half = rule.band // 2
         low = shift // half
         # band b holds the shifts of the halves b and b + 1
@@ -143,10 +160,13 @@ class Items:
         items_of = keys // (span * 2 + 8)
         good = np.flatnonzero(sums >= self.bounds[np.clip(items_of, 0, len(self.ids) - 1)])
         out: set[int] = set()
-        offsets = None
+        offsets, vocabulary, hopeless = None, set(words), set()
         for g in good:
             n = int(items_of[g])
-            if n < 0 or n in out:
+            if n < 0 or n in out or n in hopeless:
+                continue
+            if not self._enough_words(n, vocabulary):
+                hopeless.add(n)
                 continue
             mine = spots[(inverse[: len(spots)] == g) | (inverse[len(spots) :] == g)]
             if offsets is None:
