@@ -64,9 +64,21 @@ def pair_scores(cells: DataFrame) -> DataFrame:
     hb = F.log("N") - F.col("hb") / F.col("N")
     mi = F.log("N") + (F.col("hj") - F.col("ha") - F.col("hb")) / F.col("N")
     return one.select(
-        F.round((all_pairs + 2 * F.col("both") - F.col("ra") - F.col("rb")) / all_pairs, 6).alias("rand"),
+        F.round(F.try_divide(all_pairs + 2 * F.col("both") - F.col("ra") - F.col("rb"), all_pairs), 6).alias("rand"),
         F.round((F.col("both") - expected) / ((F.col("ra") + F.col("rb")) / 2 - expected), 6).alias("adjusted_rand"),
         F.round(F.col("both") / F.sqrt(F.col("ra") * F.col("rb")), 6).alias("fowlkes_mallows"),
         F.round(mi, 6).alias("mutual_information"),
         F.round(mi / ((ha + hb) / 2), 6).alias("normalized_mi"),
     )
+
+
+def wrong_pairs(cells: DataFrame, pred: str, truth: str) -> DataFrame:
+    """(shared, cl_i, gt_i, cl_j, gt_j, pairs) of a contingency table (pred, truth, n): pairs of
+    classes of which all items share the cluster but not the label, or the label but not the
+    cluster. The pairs of items are the products of the classes and are not formed."""
+    i = cells.select(F.col(pred).alias("cl_i"), F.col(truth).alias("gt_i"), F.col("n").alias("n_i"))
+    j = cells.select(F.col(pred).alias("cl_j"), F.col(truth).alias("gt_j"), F.col("n").alias("n_j"))
+    same_cluster = i.join(j, (F.col("cl_i") == F.col("cl_j")) & (F.col("gt_i") < F.col("gt_j")))
+    same_label = i.join(j, (F.col("gt_i") == F.col("gt_j")) & (F.col("cl_i") < F.col("cl_j")))
+    both = same_cluster.withColumn("shared", F.lit("cluster")).unionByName(same_label.withColumn("shared", F.lit("label")))
+    return both.select("shared", "cl_i", "gt_i", "cl_j", "gt_j", (F.col("n_i") * F.col("n_j")).alias("pairs"))

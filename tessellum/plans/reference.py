@@ -291,6 +291,33 @@ def m_ext_scores(s, d):
     return V.pair_scores(V.contingency(e, "label", "p"))
 
 
+_LABELS = "l as (select c_custkey item, c_nationkey % 4 cl, c_nationkey % 3 gt from customer)"
+
+
+def label_cells(s: SparkSession, d: str) -> DataFrame:
+    """(t, p, n) of all customers: labels and clusters made of the nation."""
+    c = table(s, d, "customer").select((F.col("c_nationkey") % 4).alias("cl"), (F.col("c_nationkey") % 3).alias("gt"))
+    return V.contingency(c, "gt", "cl")
+
+
+@query(f"""with {_LABELS} select round(avg(case when (a.cl = b.cl) = (a.gt = b.gt) then 1e0 else 0e0 end), 6) ri
+    from l a join l b on a.item < b.item""")
+def m_ri_overlap(s, d):
+    """Share of all pairs that agree, counted in the contingency table."""
+    return V.pair_scores(label_cells(s, d)).select(F.col("rand").alias("ri"))
+
+
+@query(f"""with {_LABELS}, p as (select a.cl acl, a.gt agt, b.cl bcl, b.gt bgt from l a join l b on a.item < b.item
+        where (a.cl = b.cl) <> (a.gt = b.gt)),
+    o as (select *, acl < bcl or (acl = bcl and agt < bgt) up from p)
+    select case when acl = bcl then 'cluster' else 'label' end shared, case when up then acl else bcl end cl_i, case when up then agt else bgt end gt_i,
+    case when up then bcl else acl end cl_j, case when up then bgt else agt end gt_j, count(*) pairs from o group by 1, 2, 3, 4, 5""")
+def m_wrong_pairs(s, d):
+    """Wrong pairs of either kind by their two classes (cluster, label): any item of the one
+    with any of the other."""
+    return V.wrong_pairs(label_cells(s, d), "p", "t")
+
+
 @query("""with c as (select vec_id % 7 cl, label, count(*) n from embeddings group by 1, 2), b as (select cl, max(n) n from c group by 1)
     select round(sum(n) / (select count(*) from embeddings), 6) purity from b""")
 def m_purity(s, d):

@@ -12,7 +12,7 @@ _COLS = """cols as (select fileName f, col_id, row_number() over (partition by f
     case when vals is null or trim(vals) = '' then 1 else 0 end emp, length(coalesce(vals, '')) len,
     case when lower(colName) like '%name%' then 1 else 0 end ne from column_gt)"""
 _EDGE = "e as (select c_nationkey parent, c_mktsegment child, count(*) weight from customer group by c_nationkey, c_mktsegment)"
-_LAB = "l as (select c_custkey item, c_nationkey % 4 cl, c_nationkey % 3 gt from customer where c_custkey <= 400)"
+_LAB = "l as (select c_custkey item, c_nationkey % 4 cl, c_nationkey % 3 gt from customer)"
 
 STATEMENTS: dict[str, str] = {
     # projections, running and ranking windows
@@ -51,9 +51,7 @@ STATEMENTS: dict[str, str] = {
     "sc12_score_weights": f"with {_COLS}, s as (select f, col_id, case when emp = 1 then 0e0 else 1e0 / (idx + 1e0) end w from cols) select f, col_id, round(case when sum(w) over (partition by f) > 0 then w / sum(w) over (partition by f) else 1e0 / count(*) over (partition by f) end, 6) w from s",
     "sc13_first_entity": f"with {_COLS} select f, min(case when ne = 1 then idx end) first_ne from cols group by f",
     # evaluation
-    "m_ri_overlap": f"with {_LAB} select round(avg(case when (a.cl = b.cl) = (a.gt = b.gt) then 1e0 else 0e0 end), 6) ri from l a join l b on a.item < b.item",
-    "m_wrong_pairs": f"with {_LAB} select a.item i, b.item j from l a join l b on a.cl = b.cl and a.item < b.item where a.gt <> b.gt and a.item <= 40",
-    "m_prf": "with g as (select distinct n_nationkey k from nation), r as (select distinct c_nationkey k from customer where c_custkey % 7 = 0 union select s_nationkey + 20 from supplier), h as (select count(*) h from r join g on r.k = g.k) select round(h / (select count(*) from r), 6) p, round(h / (select count(*) from g), 6) rec, round(2e0 * h / ((select count(*) from r) + (select count(*) from g)), 6) f1 from h",
+    "m_prf": "with g as (select distinct n_nationkey k from nation), r as (select distinct c_nationkey k from customer union select s_nationkey + 20 from supplier), h as (select count(*) h from r join g on r.k = g.k) select round(h / (select count(*) from r), 6) p, round(h / (select count(*) from g), 6) rec, round(2e0 * h / ((select count(*) from r) + (select count(*) from g)), 6) f1 from h",
     "m_gt_index": "select class, count(distinct fileName) files, dense_rank() over (order by class) idx from table_gt where class is not null group by class",
     "m_layer_purity": f"with {_LAB}, c as (select cl % 2 layer, cl, gt, count(*) n from l group by cl, gt), b as (select layer, cl, max(n) hit, sum(n) n from c group by layer, cl) select layer, round(cast(sum(hit) as double) / cast(sum(n) as double), 6) purity from b group by layer",
     # relations and attributes
