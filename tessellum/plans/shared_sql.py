@@ -26,7 +26,7 @@ STATEMENTS: dict[str, str] = {
     "lim1_head": f"with {_COLS} select f, col_id from cols where idx < 3",
     # joins
     "jn1_lookup": "select c.c_custkey, n.n_name from customer c join nation n on c.c_nationkey = n.n_nationkey",
-    "jn2_composite_lookup": "select distinct a.col_id, b.ColumnLabel from column_gt a join column_gt b on a.fileName = b.fileName and a.colName = b.colName where b.ColumnLabel is not null and a.fileName <> 'merged_portal_export.csv'",
+    "jn2_composite_lookup": "with b as (select distinct fileName, colName, ColumnLabel from column_gt where ColumnLabel is not null) select distinct a.col_id, b.ColumnLabel from column_gt a join b on a.fileName = b.fileName and a.colName = b.colName",
     "jn3_correlated_update": "select c.col_id, coalesce(r.label, c.ColumnLabel) label from column_gt c left join label_ref r on lower(c.ColumnLabel) = r.alt_label",
     "jn4_unordered_pairs": "select a.s_suppkey i, b.s_suppkey j from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey",
     "jn7_default_membership": "select c.col_id, coalesce(r.label_id, -1) label_id from column_gt c left join label_ref r on c.ColumnLabel = r.label",

@@ -38,3 +38,11 @@ def test_prf_counts_all_customers(spark, tmp_path):
     rows = [(1, 3), (2, 4), (7, 90)]
     got = run(spark, tmp_path, "m_prf", customer=(rows, KEYS), nation=([(3,), (4,)], "n_nationkey int"), supplier=([(70,)], "s_nationkey int"))
     assert (got[0].p, got[0].rec, got[0].f1) == (round(2 / 3, 6), 1.0, 0.8)
+
+
+def test_composite_lookup_keeps_the_hot_file(spark, tmp_path):
+    hot = "merged_portal_export.csv"
+    rows = [(1, hot, "a", "x"), (2, hot, "a", "y"), (3, hot, "a", None), (4, hot, "b", "x"), (5, "f", "a", "z"), (6, hot, None, "x")]
+    got = run(spark, tmp_path, "jn2_composite_lookup", column_gt=(rows, "col_id long, fileName string, colName string, ColumnLabel string"))
+    want = {(i, b[3]) for i, f, c, _ in rows for b in rows if c and b[1:3] == (f, c) and b[3]}
+    assert sorted(map(tuple, got)) == sorted(want)
