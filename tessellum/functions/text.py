@@ -1,10 +1,15 @@
-"""Column expressions over cell texts and headers. All stay in the JVM; patterns use ASCII
-classes so that other engines agree."""
+"""Column expressions over cell texts and headers. All but ``parse_list`` stay in the JVM;
+patterns use ASCII classes so that other engines agree."""
 
 from __future__ import annotations
 
+import ast
+import warnings
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Cells that count as empty.
 EMPTY_CELLS = ("-", "NA", "na", "nan", "n/a", "NULL", "null", "nil", "empty", " ", "")
@@ -72,11 +77,32 @@ def capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
 
 
+def list_values(text: str | None) -> list[str | None]:
+    """The elements of a list in Python's notation, any other text as one element, none of a
+    blank text or ``nan``."""
+    text = (text or "").strip()
+    if text.lower() in ("", "nan"):
+        return []
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            found = ast.literal_eval(text)
+    except Exception:  # no literal: a plain text
+        return [text]
+    if isinstance(found, list):
+        return [v if v is None else str(v) for v in found]
+    return [found if isinstance(found, str) else text]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _parse_list(texts: pd.Series) -> pd.Series:
+    return texts.map(list_values)
+
+
 def parse_list(c: Column) -> Column:
-    """``['A', 'B']`` as an array, a scalar as one element, blank as none."""
-    blank = c.isNull() | (F.trim(c) == "")
-    listed = F.from_json(F.translate(c, "'", '"'), "array<string>")
-    return F.when(blank, F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(c)))
+    """``['A', 'B']`` as an array, a scalar as one element, blank as none. Quotes and escapes
+    inside elements need a parser, so this runs in Arrow batches."""
+    return _parse_list(c)
 
 
 def initials(c: Column) -> Column:

@@ -149,10 +149,9 @@ def src3_table_names(s, d):
     return table(s, d, "column_gt").select(F.col("fileName").alias("file_name")).distinct()
 
 
-@query("""select gt_id, case when superclass is null or trim(superclass) = '' then []::varchar[] else [superclass] end labels
-    from table_gt where superclass is null or superclass not like '%[%'""")
+@query()
 def f_listparse(s, d):
-    t = table(s, d, "table_gt").where("superclass is null or superclass not like '%[%'")
+    t = table(s, d, "table_gt")
     return t.select("gt_id", T.parse_list(F.col("superclass")).alias("labels"))
 
 

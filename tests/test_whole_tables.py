@@ -46,3 +46,26 @@ def test_composite_lookup_keeps_the_hot_file(spark, tmp_path):
     got = run(spark, tmp_path, "jn2_composite_lookup", column_gt=(rows, "col_id long, fileName string, colName string, ColumnLabel string"))
     want = {(i, b[3]) for i, f, c, _ in rows for b in rows if c and b[1:3] == (f, c) and b[3]}
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_listparse_parses_every_list(spark, tmp_path):
+    want = {
+        "['A', 'B']": ["A", "B"],
+        "[\"Children's Venue\", 'Sports, Leisure']": ["Children's Venue", "Sports, Leisure"],
+        "['Children\\'s Venue']": ["Children's Venue"],
+        "['ORGANIZATION', ]": ["ORGANIZATION"],
+        "['']": [""],
+        "[]": [],
+        "[1, None]": ["1", None],
+        "['Event', 'Place'": ["['Event', 'Place'"],
+        " Place ": ["Place"],
+        "'Place'": ["Place"],
+        "Trade, Import": ["Trade, Import"],
+        "12": ["12"],
+        " ": [],
+        "nan": [],
+        None: [],
+    }
+    rows = list(enumerate(want))
+    got = run(spark, tmp_path, "f_listparse", table_gt=(rows, "gt_id long, superclass string"))
+    assert {r.gt_id: r.labels for r in got} == {i: want[text] for i, text in rows}
