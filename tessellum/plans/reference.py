@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessellum.functions import text as T
-from tessellum.operators import clustering, forest, graphs, relational as R, vectors as V
+from tessellum.operators import clustering, forest, graphs, relational as R, subject, vectors as V
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import has_value, table
 
@@ -254,6 +254,48 @@ def t_tfidf(s, d):
     return R.tfidf(table(s, d, "documents"), "doc_id", "text")
 
 
+# --- subject columns: no SQL, the votes over cells need more than the engines share
+
+
+def typed_columns(s: SparkSession, d: str) -> DataFrame:
+    return subject.columns(table(s, d, "column_gt"), "fileName", "col_id", "vals")
+
+
+@query()
+def sc8_length_variance(s, d):
+    return typed_columns(s, d).select("f", "col_id", F.round("tlc", 6).alias("tlc"), F.round("vt", 6).alias("vt"))
+
+
+@query()
+def win8_distance_to_entity(s, d):
+    return subject.distances(typed_columns(s, d)).select("f", "col_id", "df")
+
+
+@query()
+def sc10_subject_score(s, d):
+    return subject.scores(typed_columns(s, d)).select("f", "col_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def sc11_subject_columns(s, d):
+    return subject.subject_columns(subject.scores(typed_columns(s, d)))
+
+
+@query()
+def sc12_score_weights(s, d):
+    return subject.weights(subject.scores(typed_columns(s, d), entities_only=False)).withColumn("w", F.round("w", 6))
+
+
+@query()
+def sc13_first_entity(s, d):
+    return subject.first_entities(typed_columns(s, d))
+
+
+@query()
+def prj3_leftmost_entities(s, d):
+    return subject.leftmost(typed_columns(s, d))
+
+
 # --- vectors and evaluation
 
 

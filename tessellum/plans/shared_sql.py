@@ -17,11 +17,9 @@ _LAB = "l as (select c_custkey item, c_nationkey % 4 cl, c_nationkey % 3 gt from
 STATEMENTS: dict[str, str] = {
     # projections, running and ranking windows
     "prj2_reverse_columns": f"with {_COLS} select f, col_id, max(idx) over (partition by f) - idx new_idx from cols",
-    "prj3_leftmost_entities": f"with {_COLS}, r as (select f, col_id, idx, coalesce(sum(ne) over (partition by f order by idx rows between unbounded preceding and 1 preceding), 0) seen from cols) select f, col_id, idx from r where seen < 2",
     "win4_lightest_edges": f"with {_EDGE}, r as (select *, row_number() over (order by weight, parent, child) r, count(*) over () n from e) select parent, child, weight from r where r <= cast(floor(0.1 * n) as bigint)",
     "win6_every_nth": "with r as (select event_id, row_number() over (order by event_id) - 1 pos, count(*) over () n from events) select event_id from r where pos % cast(ceil(n / 128.0) as bigint) = 0",
     "win7_forward_mean": "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between current row and 3 following), 6) m from events",
-    "win8_distance_to_entity": f"with {_COLS} select f, col_id, idx - min(case when ne = 1 then idx end) over (partition by f) df from cols",
     "srt1_largest_groups": "select fileName, count(*) n from column_gt group by fileName order by n desc, fileName limit 20",
     "lim1_head": f"with {_COLS} select f, col_id from cols where idx < 3",
     # joins
@@ -44,12 +42,6 @@ STATEMENTS: dict[str, str] = {
     "agg20_bag_union": "with b as (select lang, source, count(*) n from documents group by lang, source) select source, max(n) n from b group by source",
     "cache2_resume": "select fileName from table_gt where fileName not in (select fileName from column_gt where fileName is not null) ",
     "snk3_upsert": "with old as (select n_nationkey k, n_name v from nation), new as (select c_nationkey k, max(c_name) v from customer where c_nationkey < 10 group by c_nationkey) select k, v from new union all select k, v from old where k not in (select k from new)",
-    # profiling and subject scores
-    "sc8_length_variance": "select fileName, round(var_samp(length(vals)), 4) tlc from column_gt where vals is not null group by fileName",
-    "sc10_subject_score": f"with {_COLS}, s as (select f, col_id, (1.0 - emp) / sqrt(idx + 1.0) score from cols) select f, col_id, round(score, 6) score from s",
-    "sc11_subject_columns": f"with {_COLS}, s as (select f, col_id, round((1.0 - emp) / sqrt(idx + 1.0), 6) score from cols), r as (select *, rank() over (partition by f order by score desc) r from s) select f, col_id from r where r = 1",
-    "sc12_score_weights": f"with {_COLS}, s as (select f, col_id, case when emp = 1 then 0e0 else 1e0 / (idx + 1e0) end w from cols) select f, col_id, round(case when sum(w) over (partition by f) > 0 then w / sum(w) over (partition by f) else 1e0 / count(*) over (partition by f) end, 6) w from s",
-    "sc13_first_entity": f"with {_COLS} select f, min(case when ne = 1 then idx end) first_ne from cols group by f",
     # evaluation
     "m_prf": "with g as (select distinct n_nationkey k from nation), r as (select distinct c_nationkey k from customer union select s_nationkey + 20 from supplier), h as (select count(*) h from r join g on r.k = g.k) select round(h / (select count(*) from r), 6) p, round(h / (select count(*) from g), 6) rec, round(2e0 * h / ((select count(*) from r) + (select count(*) from g)), 6) f1 from h",
     "m_gt_index": "select class, count(distinct fileName) files, dense_rank() over (order by class) idx from table_gt where class is not null group by class",
