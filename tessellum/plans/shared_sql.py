@@ -41,19 +41,15 @@ STATEMENTS: dict[str, str] = {
     "agg19_best_keys": "with c as (select user_id, event_type, sum(value) s from events group by user_id, event_type), r as (select *, rank() over (partition by user_id order by s desc) r from c) select user_id, event_type from r where r = 1",
     "agg20_bag_union": "with b as (select lang, source, count(*) n from documents group by lang, source) select source, max(n) n from b group by source",
     "cache2_resume": "select fileName from table_gt where fileName not in (select fileName from column_gt where fileName is not null) ",
-    "snk3_upsert": "with old as (select n_nationkey k, n_name v from nation), new as (select c_nationkey k, max(c_name) v from customer where c_nationkey < 10 group by c_nationkey) select k, v from new union all select k, v from old where k not in (select k from new)",
     # evaluation
     "m_prf": "with g as (select distinct n_nationkey k from nation), r as (select distinct c_nationkey k from customer union select s_nationkey + 20 from supplier), h as (select count(*) h from r join g on r.k = g.k) select round(h / (select count(*) from r), 6) p, round(h / (select count(*) from g), 6) rec, round(2e0 * h / ((select count(*) from r) + (select count(*) from g)), 6) f1 from h",
     "m_gt_index": "select class, count(distinct fileName) files, dense_rank() over (order by class) idx from table_gt where class is not null group by class",
     "m_layer_purity": f"with {_LAB}, c as (select cl % 2 layer, cl, gt, count(*) n from l group by cl, gt), b as (select layer, cl, max(n) hit, sum(n) n from c group by layer, cl) select layer, round(cast(sum(hit) as double) / cast(sum(n) as double), 6) purity from b group by layer",
     # relations and attributes
     "p4b_group_files": "select fileName, case when superclass like '%Place%' then 'Place' when class is not null then class else 'none' end grp from table_gt",
-    "p4c_relationships": "with p as (select c.c_nationkey t1, s.s_nationkey t2, c.c_custkey x from customer c join orders o on c.c_custkey = o.o_custkey join lineitem l on l.l_orderkey = o.o_orderkey join supplier s on s.s_suppkey = l.l_suppkey), n as (select c_nationkey t1, count(*) total from customer group by c_nationkey), r as (select t1, t2, count(distinct x) sup from p group by t1, t2) select r.t1, t2, round(sup / total, 6) portion from r join n on r.t1 = n.t1 where sup / total >= 0.6",
     "ar_list_attributes": "select t.class, count(distinct lower(c.ColumnLabel)) attrs from table_gt t join column_gt c on t.fileName = c.fileName where t.class is not null and c.ColumnLabel is not null group by t.class",
     "e2e_cnt_types": "select superclass, count(distinct class) types from table_gt where superclass is not null group by superclass",
-    "gen1_size_variants": "with k as (select gt_id, class, row_number() over (order by md5(concat('1|', fileName)), gt_id) r, count(*) over () n from table_gt) select class, count(*) n from k where r <= cast(round(n * 0.25) as bigint) and class is not null group by class",
     "gen5_tables_per_leaf": "with k as (select class, fileName, row_number() over (partition by class order by md5(concat('5|', fileName)), gt_id) r from table_gt where class is not null) select class, fileName from k where r <= 2",
-    "rpt2_recall_summary": "select c_mktsegment m, round(avg(case when c_acctbal > 0 then 1e0 else 0e0 end), 6) recall, count(*) n from customer group by c_mktsegment",
 }
 
 

@@ -69,3 +69,8 @@ def test_listparse_parses_every_list(spark, tmp_path):
     rows = list(enumerate(want))
     got = run(spark, tmp_path, "f_listparse", table_gt=(rows, "gt_id long, superclass string"))
     assert {r.gt_id: r.labels for r in got} == {i: want[text] for i, text in rows}
+
+
+def test_stand_ins_are_not_registered():
+    names = set(__spark_entry__.queries()) | set(__spark_entry__.oracle_sql())
+    assert not names & {"rpt2_recall_summary", "snk3_upsert", "gen1_size_variants", "p4c_relationships"}
