@@ -8,11 +8,11 @@ never leaves its task.
    space. Words keep their letters and digits; hyphens and apostrophes inside them go.
 2. Filter (q-gram lemma): a passage of ``words`` words within the edit budget keeps all its
    character q-grams but those that an altered word (its length + q - 1 of them) or an added
-   one (q - 1) destroys. Shared q-grams are counted in bands of diagonals (place in the
-   document minus place in the item); bands overlap by half, so that the shift which the
-   budget allows always lies within one. Bands below the item's bound can't hold a match.
-3. Verification: banded alignment of the words in the region of the band, then the exact
-   rule: ``words`` consecutive words of the item of which at most ``altered`` aren't matched
+   one (q - 1) destroys. A copy spans at most ``words`` + ``altered`` + ``added`` words of the
+   document, whatever their lengths, so it lies within two neighbouring blocks of as many
+   words. Pairs of blocks with fewer shared q-grams than the item's bound can't hold a match.
+3. Verification: banded alignment of the words in and next to those blocks, then
+   the exact rule: ``words`` consecutive words of the item of which at most ``altered`` aren't matched
    in order, with at most ``added`` other words in between.
 
 Null, empty and short texts contain nothing; repeated documents and items are rows of their
@@ -42,7 +42,6 @@ class Rule(NamedTuple):
     words: int = 15
     altered: int = 2
     added: int = 6
-    band: int = 64
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -92,12 +91,10 @@ class Items:
         codes = [_codes(t) for t in texts]
         every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
         order = np.argsort(every, kind="stable")
-        self.owner, self.place = owner[order], place[order]
+        self.owner = owner[order]
         self.grams, self.start = np.unique(every[order], return_index=True)
         self.count = np.diff(np.append(self.start, len(every)))
-        self.offsets = [np.cumsum([0] + [len(w) + 1 for w in words]) for words in self.words]
 
     def _bound(self, words: list[str]) -> int:
         """Shared q-grams that any acceptable copy of any of the item's windows keeps."""
@@ -147,42 +144,28 @@ class Items:
         enough = (np.bincount(item, minlength=len(self.ids)) >= self.bounds)[item]
         if not enough.any():
             return []
-        item, spots, entry = item[enough], spots[enough], entry[enough]
-        shift = spots - self.place[entry]
-        half = rule.band // 2
-        low = shift // half
-        # band b holds the shifts of the halves b and b + 1
-        span = int(len(codes) // half + max(map(len, self.offsets)) * 40 // half + 4)
-        base = low.min() - 1
-        key = item * (span * 2 + 8) + (low - base)
-        keys, inverse = np.unique(np.concatenate([key, key - 1]), return_inverse=True)
-        sums = np.bincount(inverse)
-        items_of = keys // (span * 2 + 8)
-        good = np.flatnonzero(sums >= self.bounds[np.clip(items_of, 0, len(self.ids) - 1)])
+        item, spots = item[enough], spots[enough]
+        span = rule.words + rule.altered + rule.added
+        offsets = np.cumsum([len(w) + 1 for w in words])
+        stride = len(words) // span + 3
+        word = np.zeros(len(text) + 1, np.int64)
+        word[offsets[:-1]] = 1
+        block = np.cumsum(word)[spots] // span
+        # a copy lies within two neighbouring blocks; the first that has hits stands for both
+        keys, counts = np.unique(item * stride + block, return_counts=True)
+        sums = counts.copy()
+        sums[:-1] += np.where(np.diff(keys) == 1, counts[1:], 0)
+        items_of, blocks_of = np.divmod(keys, stride)
+        good = np.flatnonzero(sums >= self.bounds[items_of])
         out: set[int] = set()
-        offsets, vocabulary, hopeless = None, set(words), set()
-        for g in good:
-            n = int(items_of[g])
-            if n < 0 or n in out or n in hopeless:
+        vocabulary, hopeless = set(words), set()
+        for n, b in zip(items_of[good].tolist(), blocks_of[good].tolist()):
+            if n in out or n in hopeless:
                 continue
             if not self._enough_words(n, vocabulary):
                 hopeless.add(n)
-                continue
-            mine = spots[(inverse[: len(spots)] == g) | (inverse[len(spots) :] == g)]
-            if offsets is None:
-                offsets = np.cumsum([0] + [len(w) + 1 for w in words])
-            # hits far from each other are regions of their own: a band can be as long as the text
-            reach = int(self.offsets[n][-1]) + rule.band
-            cuts = np.flatnonzero(np.diff(mine) > reach) if np.all(np.diff(mine) >= 0) else None
-            if cuts is None:
-                mine = np.sort(mine)
-                cuts = np.flatnonzero(np.diff(mine) > reach)
-            for part in np.split(mine, cuts + 1):
-                first = max(0, int(np.searchsorted(offsets, part[0], "right")) - 1 - rule.words)
-                last = min(len(words), int(np.searchsorted(offsets, part[-1] + Q, "right")) + rule.words)
-                if matches(self.words[n], words[first:last], rule):
-                    out.add(n)
-                    break
+            elif matches(self.words[n], words[max(0, b - 1) * span : (b + 2) * span], rule):
+                out.add(n)
         return [self.ids[n] for n in sorted(out)]
 
 
