@@ -29,3 +29,10 @@ def local_session(cpus: int | str | None = None, app: str = "tessellum", **conf:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for a stage of costly Python work: the session's shuffle partitions, at least
+    three for each core. A number given to ``repartition`` keeps adaptive execution from
+    merging a small input into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
