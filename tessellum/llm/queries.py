@@ -182,4 +182,13 @@ SQL = {
                   from now where not {_NO % ("label", "label")})
         select term, count(*) occurrences, count(distinct col_id) records from words group by term""",
     "p6_found": f"with {_SETS} select file_a, file_b from pairs",
+    "p6_classes": f"""with {_SETS},
+        matching as (select f from sizes a where exists (
+            select 1 from sizes b where a.f <> b.f and 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n))),
+        sets as (select f, string_agg(l, chr(31) order by l) s from labels where f in (select f from matching) group by f),
+        classes as (select f, min(f) over (partition by s) class_file from sets),
+        both as (select file_a x, file_b y from pairs union all select file_b, file_a from pairs),
+        linked as (select a.class_file c, count(distinct b.class_file) links from both join classes a on x = a.f
+            join classes b on y = b.f where a.class_file <> b.class_file group by 1)
+        select f file, class_file, coalesce(links, 0) links from classes left join linked on c = class_file""",
 }

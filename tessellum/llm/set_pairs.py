@@ -9,7 +9,8 @@ segment to look up nothing (t = -1), the exact signature (t = 0), or all that is
 apart (t = 1: its segment against both kinds, and its own deletions against the exact ones).
 It makes the cheapest choice that reaches the sum, a look-up costing the records of the
 segment's rarest token, so that frequent tokens and empty segments are looked up only where
-nothing else would do. Candidates are verified on the sets themselves; nothing is missed.
+nothing else would do; spare segments make that rare at any size. Signatures of frequent
+tokens alone are salted. Candidates are verified on the sets themselves; nothing is missed.
 
 Records with equal sets are one class: candidates are found between classes, and copies are
 attached again at the end. Sets that no other set's size could match are left out before any
@@ -21,6 +22,7 @@ sets and those under ``least`` values take no part; repeated values count once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessellum.session import tasks
 from tessellum.sources.scratch import cut, drop
 
-#: Segments up to which the choice of look-ups is optimized; beyond, t = 1 everywhere, which
-#: is as complete.
-CHOICE_SEGMENTS = 64
+#: Records of a signature's rarest token for each salt of it, and salts at most.
+SALT_RECORDS, MOST_SALTS = 50_000, 64
 
 
 def differ(total: int, num: int, den: int) -> int:
@@ -62,8 +64,10 @@ def size_class(size: int, num: int, den: int) -> tuple[int, int]:
 
 @lru_cache(maxsize=None)
 def segments(low: int, high: int, num: int, den: int) -> int:
-    """Segments of a class: half the largest difference to a larger set, and a spare one."""
-    return most_differ(low, high + high * den // num, num, den) // 2 + 2
+    """Segments of a class: half the largest difference to a larger set, and spare ones, so
+    that segments with no token or just one need not be looked up at any size."""
+    most = most_differ(low, high + high * den // num, num, den)
+    return most // 2 + 2 + most // 16
 
 
 def _hash(*parts) -> int:
@@ -87,7 +91,13 @@ def _deleted(low: int, k: int, seg) -> int:
     return _hash("d", low, k, *[t for t, _ in seg])
 
 
-def _index(num: int, den: int):
+def salts(seg, total: int) -> int:
+    """Salts of a signature: more where all its tokens are frequent. Both sides know the
+    counts, so both know the number."""
+    return min(MOST_SALTS, 1 + min((c for _, c in seg), default=total) // SALT_RECORDS)
+
+
+def _index(num: int, den: int, total: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -95,29 +105,26 @@ def _index(num: int, den: int):
                 low, high = size_class(int(size), num, den)
                 m = segments(low, high, num, den)
                 for k, seg in enumerate(_split(list(map(int, tokens)), list(counts), m, low)):
-                    rows.append((_exact(low, k, seg), sid, size))
+                    kinds = [(_exact(low, k, seg), seg)]
                     for i in range(len(seg)):
-                        rows.append((_deleted(low, k, seg[:i] + seg[i + 1 :]), sid, size))
-            yield pd.DataFrame(rows, columns=["sig", "sid", "size"])
+                        left = seg[:i] + seg[i + 1 :]
+                        kinds.append((_deleted(low, k, left), left))
+                    rows.extend((sig, salt, sid, size) for sig, of in kinds for salt in range(salts(of, total)))
+            yield pd.DataFrame(rows, columns=["sig", "salt", "sid", "size"])
 
     return run
 
 
 def choose(costs: list[tuple[float, float]], need: int) -> list[int]:
     """t for each segment (-1, 0 or 1) with the sum of t + 1 at least ``need`` and the least
-    cost; ``costs`` are those of t = 0 and t = 1."""
-    if len(costs) > CHOICE_SEGMENTS:
-        return [1] * len(costs)
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for zero, one in costs:
-        following: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for have, (cost, ts) in best.items():
-            for t, extra in ((-1, 0.0), (0, zero), (1, one)):
-                key = min(need, have + t + 1)
-                if key not in following or cost + extra < following[key][0]:
-                    following[key] = (cost + extra, (*ts, t))
-        best = following
-    return list(best[need][1])
+    cost; ``costs`` are those of t = 0 and t = 1. The step from 0 to 1 never costs less than
+    that from -1 to 0, so taking the cheapest steps one by one is the optimum at any size."""
+    steps = [(zero, k) for k, (zero, _) in enumerate(costs)] + [(one - zero, k) for k, (zero, one) in enumerate(costs)]
+    steps.sort()
+    ts = [-1] * len(costs)
+    for _, k in steps[:need]:
+        ts[k] += 1
+    return ts
 
 
 def _probe(num: int, den: int, total: int):
@@ -139,16 +146,21 @@ def _probe(num: int, den: int, total: int):
                         fewer = sum(min((c for j, (_, c) in enumerate(seg) if j != i), default=total) for i in range(len(seg)))
                         costs.append((rarest, 2 * rarest + fewer))
                     for k, (t, seg) in enumerate(zip(choose(costs, most + 1), segs)):
+                        kinds = []
                         if t >= 0:
-                            rows.append((_exact(low, k, seg), sid, size))
+                            kinds.append((_exact(low, k, seg), seg))
                         if t == 1:
-                            rows.append((_deleted(low, k, seg), sid, size))
+                            kinds.append((_deleted(low, k, seg), seg))
                             for i in range(len(seg)):
-                                rows.append((_exact(low, k, seg[:i] + seg[i + 1 :]), sid, size))
+                                left = seg[:i] + seg[i + 1 :]
+                                kinds.append((_exact(low, k, left), left))
+                        for sig, of in kinds:
+                            n = salts(of, total)
+                            rows.append((sig, 0 if n == 1 else zlib.crc32(sid.encode()) % n, sid, size))
                     if low == 1:
                         break
                     low, high = size_class(low - 1, num, den)
-            yield pd.DataFrame(rows, columns=["sig", "rid", "rsize"])
+            yield pd.DataFrame(rows, columns=["sig", "salt", "rid", "rsize"])
 
     return run
 
@@ -173,9 +185,16 @@ def sets(df: DataFrame, record: str, value: str | Column, least: int, threshold:
     )
     sizes = sizes.join(alive.where("alive"), "size").select("record", "size")
     used = cut(rows.join(sizes, "record"), "set-used")
-    counts = used.groupBy("value").agg(F.count("*").alias("n"))
+    counts = cut(used.groupBy("value").agg(F.count("*").alias("n")), "set-counts")
+    # values in more than a thousandth of the rows are under a thousand: these are joined where
+    # their rows are, so that no task gets all rows of a frequent value
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * 1000 > total)
+    marked = used.join(F.broadcast(hot), "value", "left")
+    cold = marked.where("n is null").drop("n").join(counts, "value")
     gathered = (
-        used.join(counts, "value")
+        marked.where("n is not null")
+        .unionByName(cold)
         .groupBy("record", "size")
         .agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("all"))
         .select("record", "size", F.col("all.value").alias("toks"), F.col("all.n").alias("counts"))
@@ -189,9 +208,8 @@ def sets(df: DataFrame, record: str, value: str | Column, least: int, threshold:
     )
     members = gathered.join(classes.select("sid", "toks"), "toks").select("record", "sid")
     members = cut(members, "set-members")
-    drop(rows)
-    drop(used)
-    drop(gathered)
+    for d in (rows, used, counts, gathered):
+        drop(d)
     return members, classes
 
 
@@ -199,12 +217,12 @@ def class_pairs(classes: DataFrame, threshold: tuple[int, int] = (7, 10)) -> Dat
     """(rid, sid, shared, size_r, size_s): pairs of different sets that are similar enough."""
     num, den = threshold
     total = max(1, classes.count())
-    slim = classes.select("sid", "size", "tokens", "counts").repartition("sid")
-    index = slim.mapInPandas(_index(num, den), "sig long, sid string, size long")
-    probe = slim.mapInPandas(_probe(num, den, total), "sig long, rid string, rsize long")
+    slim = classes.select("sid", "size", "tokens", "counts").repartition(tasks(classes.sparkSession), "sid")
+    index = slim.mapInPandas(_index(num, den, total), "sig long, salt int, sid string, size long")
+    probe = slim.mapInPandas(_probe(num, den, total), "sig long, salt int, rid string, rsize long")
     once = (F.col("size") < F.col("rsize")) | ((F.col("size") == F.col("rsize")) & (F.col("sid") < F.col("rid")))
     fits = F.col("size") * den >= F.col("rsize") * num
-    found = probe.join(index, "sig").where(once & fits).select("rid", "sid").distinct()
+    found = probe.join(index, ["sig", "salt"]).where(once & fits).select("rid", "sid").distinct()
     found = cut(found, "set-candidates")
     left = classes.select(F.col("sid").alias("rid"), F.col("toks").alias("rt"))
     right = classes.select("sid", F.col("toks").alias("st"))
