@@ -125,11 +125,19 @@ def p8_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
-    return p9_statistics(spark, directory).where(quality.is_junk()).select("doc_id")
+    stats = quality.describe(table(spark, directory, "documents"), "doc_id", "text")
+    return stats.where(quality.is_junk()).select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, directory: str) -> DataFrame:
-    return quality.describe(table(spark, directory, "documents"), "doc_id", "text")
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    return quality.describe(docs, "doc_id", "text", quality.common_words(docs, "text"))
+
+
+def p9_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """The statistics that SQL can express."""
+    stats = quality.describe(table(spark, directory, "documents"), "doc_id", "text")
+    return stats.select("doc_id", "n_chars", "n_words", "n_lines", F.round("mean_word_length", 9).alias("mean_word_length"))
 
 
 QUERIES = {
@@ -147,6 +155,7 @@ QUERIES = {
     "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
+    "p9_counts": p9_counts,
 }
 
 _NO = "(%s is null or lower(trim(regexp_replace(%s, '\\s+', ' ', 'g'))) in ('', 'nan'))"
@@ -170,7 +179,15 @@ pairs as (select a.f file_a, b.f file_b from used a join used b on a.l = b.l and
           group by a.f, b.f, a.n, b.n having 10 * count(*) >= 7 * (a.n + b.n - count(*)))
 """
 
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LINE = r"[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]+"
+
 SQL = {
+    "p9_counts": f"""with t as (select doc_id, coalesce(text, '') text from documents),
+        c as (select doc_id, length(text) n_chars, len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '')) n_words,
+            len(list_filter(regexp_split_to_array(text, '{_LINE}'), lambda x: regexp_matches(x, '[^{_SPACE}]'))) n_lines,
+            length(regexp_replace(text, '[{_SPACE}]', '', 'g')) letters from t)
+        select doc_id, n_chars, n_words, n_lines, case when n_words > 0 then round(letters / n_words, 9) end mean_word_length from c""",
     "p1_counts": f"with {_LABEL_TERMS} select field, term, occurrences, records from counts",
     "p1_found": f"""with {_LABEL_TERMS}
         select field, term, case when records < 3 then 'rare' else 'common' end mark
@@ -187,8 +204,8 @@ SQL = {
             select 1 from sizes b where a.f <> b.f and 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n))),
         sets as (select f, string_agg(l, chr(31) order by l) s from labels where f in (select f from matching) group by f),
         classes as (select f, min(f) over (partition by s) class_file from sets),
-        both as (select file_a x, file_b y from pairs union all select file_b, file_a from pairs),
-        linked as (select a.class_file c, count(distinct b.class_file) links from both join classes a on x = a.f
+        sides as (select file_a x, file_b y from pairs union all select file_b, file_a from pairs),
+        linked as (select a.class_file c, count(distinct b.class_file) links from sides join classes a on x = a.f
             join classes b on y = b.f where a.class_file <> b.class_file group by 1)
         select f file, class_file, coalesce(links, 0) links from classes left join linked on c = class_file""",
 }
