@@ -15,18 +15,22 @@ Each distinct value is resolved once:
 4. The most similar entry is taken if it reaches ``least`` and all its words are matched;
    of equals the one with the closest length, then the smallest id.
 
-The list is a query set of checked size (``max_entries``); longer ones are used in blocks,
-each against all values, and the best answer of all blocks is kept. Null, blank and ``nan``
-values get no row; an empty list maps everything to 0.
+The list goes to the executors in blocks of checked size (``max_entries``); the driver holds
+one block at a time. What a block can tell about a value (mentions, words known or alike,
+entries whose words are all matched) is put together for all blocks before anything is
+decided, so the answer doesn't depend on the blocks. Null, blank and ``nan`` values get no
+row; an empty list maps everything to 0.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm.garbled import steps
+from tessellum.session import tasks
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import has_value
 
@@ -101,41 +106,60 @@ class ByLength:
                     yield group[1][i]
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance with transpositions, or ``most + 1`` if it is larger than ``most``."""
-    if abs(len(a) - len(b)) > most:
+def positions(text: str) -> dict[str, int]:
+    """For each letter of ``text`` the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def distance(a: str, b: str, most: int, places: dict[str, int] | None = None) -> int:
+    """Edit distance with transpositions of neighbours, or ``most + 1`` if it is larger than
+    ``most``: the columns of the distance table as bit vectors of their differences."""
+    size = len(a)
+    if abs(size - len(b)) > most:
         return most + 1
     if a == b:
         return 0
-    far, width = most + 1, len(b)
-    before, row = [far] * (width + 1), [j if j <= most else far for j in range(width + 1)]
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(width, i + most)
-        now = [far] * (width + 1)
-        now[0] = i if i <= most else far
-        least = now[0]
-        for j in range(low, high + 1):
-            y = b[j - 1]
-            d = row[j - 1] if x == y else row[j - 1] + 1
-            if row[j] + 1 < d:
-                d = row[j] + 1
-            if now[j - 1] + 1 < d:
-                d = now[j - 1] + 1
-            if x != y and j > 1 and i > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < d:
-                d = before[j - 2] + 1
-            now[j] = d
-            if d < least:
-                least = d
-        if least > most:
-            return far
-        before, row = row, now
-    return min(row[-1], far)
+    if not size or not b:
+        return max(size, len(b))
+    places = positions(a) if places is None else places
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, diagonal, before, score = full, 0, 0, 0, size
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        at = places.get(c, 0)
+        swapped = ((~diagonal & at) << 1) & before
+        diagonal = ((((at & up) + up) ^ up) | at | down | swapped) & full
+        right, back = (down | ~(diagonal | up)) & full, up & diagonal
+        if right & top:
+            score += 1
+        elif back & top:
+            score -= 1
+        if score - left > most:
+            return most + 1
+        right, back = right << 1 | 1, back << 1
+        up, down, before = (back | ~(diagonal | right)) & full, diagonal & right, at
+    return min(score, most + 1)
 
 
 def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2
 
 
+class Facts(NamedTuple):
+    """What a block of the list tells about the words of a value."""
+
+    spans: list[tuple[int, int, int]]  # mentions: start, end and entry
+    close: list[bool]  # for each plain word: some word of the block is like it
+    matched: list[tuple[int, tuple[str, ...], float, tuple[int, ...]]]  # entry, words, quality, places used
+    together: tuple[int | None, int | None, tuple[int, int] | None] | None  # see Canon.together
+
+
+def least_of(options: Iterable):
+    return min((o for o in options if o is not None), default=None)
+
+
 class Canon:
     """A block of the reference list: (id, name) with aliases as further rows."""
 
@@ -143,27 +167,30 @@ class Canon:
         self.least = least
         self.names: list[tuple[int, tuple[str, ...]]] = []
         self.automaton = ahocorasick.Automaton()
-        self.vocabulary: dict[str, list[int]] = defaultdict(list)  # word -> names
-        self.joined: dict[str, int] = {}
+        self.vocabulary: Counter[str] = Counter()  # word -> its names
+        self.joined: dict[str, int] = {}  # these three: text -> smallest entry
         self.bones: dict[str, int] = {}
-        whole: dict[str, int] = {}
+        self.whole: dict[str, int] = {}
         for entry, name in sorted(entries):
             words = tuple(words_of(name))
             if not words:
                 continue
-            n = len(self.names)
+            self.vocabulary.update(set(words))
             self.names.append((entry, words))
-            whole.setdefault(" ".join(words), n)
-            for w in set(words):
-                self.vocabulary[w].append(n)
-            self.joined.setdefault("".join(words), n)
-            self.bones.setdefault("".join(map(bones, words)), n)
-            self.bones.setdefault(consonants("".join(words)), n)
-        self.whole = whole
-        for text, n in whole.items():
-            self.automaton.add_word(f" {text} ", (len(text), n))
-        if whole:
+            self.whole.setdefault(" ".join(words), entry)
+            self.joined.setdefault("".join(words), entry)
+            self.bones.setdefault("".join(map(bones, words)), entry)
+            self.bones.setdefault(consonants("".join(words)), entry)
+        for text, entry in self.whole.items():
+            self.automaton.add_word(f" {text} ", (len(text), entry))
+        if self.whole:
             self.automaton.make_automaton()
+        # all words of a matched name are matched, so its rarest word alone leads to it
+        self.by_rarest: dict[str, list[int]] = defaultdict(list)
+        self.real = [frozenset(words) - FILLERS for _, words in self.names]
+        for n, (_, words) in enumerate(self.names):
+            for w in {min(self.real[n], key=lambda w: (self.vocabulary[w], w))} if self.real[n] else set(words):
+                self.by_rarest[w].append(n)
         self.by_bones: dict[str, list[str]] = defaultdict(list)
         self.by_start: dict[str, list[str]] = defaultdict(list)
         for w in self.vocabulary:
@@ -175,29 +202,16 @@ class Canon:
         self.names_near = ByLength(list(self.joined.items()))
         self.memo: dict[str, dict[str, float]] = {}
 
-    def mentions(self, words: list[str]) -> list[int]:
-        """Names mentioned in the words: longest first, without overlaps."""
-        if not self.whole:
-            return []
-        text = f" {' '.join(words)} "
-        spans = [(size, end - size, end, n) for end, (size, n) in self.automaton.iter(text)]
-        taken: list[tuple[int, int]] = []
-        out = []
-        for size, start, end, n in sorted(spans, key=lambda s: (-s[0], s[1])):
-            if all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
-                out.append(n)
-        return out
-
-    def similar_words(self, word: str) -> dict[str, float]:
-        """Words of the list that ``word`` may stand for, with a similarity."""
-        known = self.memo.get(word)
-        if known is not None:
-            return known
+    def similar_words(self, word: str, known: bool) -> dict[str, float]:
+        """Words of the block that ``word`` may stand for, with a similarity; only itself if it
+        is ``known`` to be a word of the whole list."""
+        if known:
+            return {word: 1.0} if word in self.vocabulary else {}
+        kept = self.memo.get(word)
+        if kept is not None:
+            return kept
         out: dict[str, float] = {}
-        if word in self.vocabulary:
-            out[word] = 1.0
-        elif not word.isdigit():
+        if not word.isdigit():
             if len(word) >= START:
                 for w in self.by_start.get(word[:START], ()):
                     if w.startswith(word):
@@ -207,102 +221,135 @@ class Canon:
                     out[w] = max(out.get(w, 0.0), 0.85)
             most = allowed(len(word))
             if most:
+                places = positions(word)
                 for w, _ in self.words_near.near(word, most):
                     room = min(most, allowed(len(w)))
-                    if room and (d := distance(word, w, room)) <= room:
+                    if room and (d := distance(word, w, room, places)) <= room:
                         out[w] = max(out.get(w, 0.0), 1 - 0.12 * d)
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[word] = out
         return out
 
-    def resolve(self, value: str) -> tuple[int, float]:
-        """(entry, similarity) of a value; (0, 0.0) where it means none."""
-        words = words_of(mended(value))
-        if not words or not self.names:
-            return 0, 0.0
-        n = self.whole.get(" ".join(words))
-        if n is not None:
-            return self.names[n][0], 1.0
-        plain = [w for w in words if not w.isdigit()]
-        if not plain:
-            return 0, 0.0
-        close = [self.similar_words(w) for w in plain]
-        found = self.mentions(words)
-        if len(found) == 1 or (found and len(self.names[found[0]][1]) > 1):
-            inside = set(self.names[found[0]][1])
-            # nothing else in the value looks like a word of the list, unless it is part of
-            # another mention: the rest is decoration
-            if all(w in inside or not c or len(self.names[found[0]][1]) > 1 for w, c in zip(plain, close)):
-                return self.names[found[0]][0], 1.0
-        best = (0.0, 0, 0, 0, 0)
-        scores: dict[int, dict[str, tuple[float, int]]] = defaultdict(dict)
+    def facts(self, words: list[str], plain: list[str], known: list[bool]) -> Facts:
+        """All but ``together``."""
+        text = f" {' '.join(words)} "
+        spans = [(end - size, end, entry) for end, (size, entry) in self.automaton.iter(text)] if self.whole else []
+        close = [self.similar_words(w, k) for w, k in zip(plain, known)]
+        alike: dict[str, tuple[float, int]] = {}  # word of the list -> similarity and place
         for i, c in enumerate(close):
             for w, s in c.items():
-                for n in self.vocabulary[w]:
-                    have = scores[n].get(w)
-                    if have is None or s > have[0]:
-                        scores[n][w] = (s, i)
-        explained = [bool(c) or w in FILLERS for w, c in zip(plain, close)]
-        for n, matched in scores.items():
+                if w not in alike or s > alike[w][0]:
+                    alike[w] = (s, i)
+        matched = []
+        found, real = set(alike), self.real
+        for n in {n for w in alike for n in self.by_rarest.get(w, ()) if real[n] <= found}:
             entry, names = self.names[n]
             need = set(names)
-            if any(w not in matched for w in need if w not in FILLERS):
-                continue
-            used = {i for _, i in matched.values()}
-            if len(used) < len([w for w in need if w not in FILLERS]):
+            used = {alike[w][1] for w in need if w in alike}
+            if len(used) < len(real[n]):
                 continue  # one word of the value can't stand for two
             letters = sum(map(len, need)) or 1
-            quality = sum(len(w) * matched[w][0] if w in matched else 0.5 * len(w) for w in need) / letters
+            quality = sum(len(w) * alike[w][0] if w in alike else 0.5 * len(w) for w in need) / letters
+            matched.append((entry, names, quality, tuple(sorted(used))))
+        return Facts(spans, [bool(c) for c in close], matched, None)
+
+    def together(self, plain: list[str]) -> tuple[int | None, int | None, tuple[int, int] | None]:
+        """The value as one run of letters against names written the same way: the entry that
+        equals it, the one that does without vowels, and the closest as (distance, entry). A
+        run of under six letters allows no edits."""
+        text = "".join(plain)
+        best: tuple[int, int] | None = None
+        if len(text) >= 6:
+            most = 1 if len(text) < 8 else 2 if len(text) < 12 else 3
+            places = positions(text)
+            for name, entry in self.names_near.near(text, most):
+                d = distance(text, name, most, places)
+                if d <= most and (best is None or (d, entry) < best):
+                    best = (d, entry)
+        return self.joined.get(text), self.bones.get(text) if len(text) >= 3 else None, best
+
+    def resolve(self, value: str) -> tuple[int, float]:
+        """(entry, similarity) of a value, this block being the whole list; (0, 0.0) where it
+        means none."""
+        words, plain = parts_of(value)
+        entry = self.whole.get(" ".join(words)) if words else None
+        if entry is not None:
+            return entry, 1.0
+        if not plain or not self.names:
+            return 0, 0.0
+        facts = self.facts(words, plain, [w in self.vocabulary for w in plain])
+        return decide(words, plain, [facts], lambda: [self.together(plain)], self.least)
+
+
+def parts_of(value: str) -> tuple[list[str], list[str]]:
+    """The words of a value, and those that are no numbers."""
+    words = words_of(mended(value))
+    return words, [w for w in words if not w.isdigit()]
+
+
+def decide(words: list[str], plain: list[str], parts: list[Facts], together: Callable, least: float) -> tuple[int, float]:
+    """The answer for a value that is no name as a whole, from the facts of all blocks;
+    ``together`` gives their runs of letters, if these are needed."""
+    close = [any(p.close[i] for p in parts) for i in range(len(plain))]
+    mentions: dict[tuple[int, int], int] = {}
+    for p in parts:
+        for start, end, entry in p.spans:
+            mentions[start, end] = min(entry, mentions.get((start, end), entry))
+    text = f" {' '.join(words)} "
+    taken: list[tuple[int, int]] = []
+    for start, end in sorted(mentions, key=lambda s: (s[0] - s[1], s[0])):  # longest first
+        if all(end <= a or start >= b for a, b in taken):
+            taken.append((start, end))
+    if taken:
+        inside = text[taken[0][0] : taken[0][1] + 1].split()
+        # a longer name, or one word with nothing beside it that looks like a word of the list:
+        # the rest is decoration
+        alone = len(taken) == 1 and all(w in inside or not c for w, c in zip(plain, close))
+        if len(inside) > 1 or alone:
+            return mentions[taken[0]], 1.0
+    best: tuple = (0.0, 0, 0, (), 0)
+    explained = [c or w in FILLERS for w, c in zip(plain, close)]
+    letters = sum(map(len, plain))
+    for p in parts:
+        for entry, names, quality, used in p.matched:
             # words of the value that stand for something, but not for this entry
             beside = sum(1 for i, e in enumerate(explained) if e and i not in used and plain[i] not in FILLERS)
             similarity = quality - 0.15 * beside
             # words that neither the entry nor any other explains leave the answer open
             unknown = sum(1 for i, e in enumerate(explained) if i not in used and (e or len(plain[i]) >= 8))
-            size = sum(map(len, names))
-            key = (round(similarity + 0.02 * len(need), 6), -abs(size - sum(map(len, plain))), -entry, n, unknown)
+            key = (round(similarity + 0.02 * len(set(names)), 6), -abs(sum(map(len, names)) - letters), -entry, names, unknown)
             if key > best:
                 best = key
-        # words that run together, or are taken for other words, may fit better as a whole
-        clear = best[0] >= self.least and best[4] == 0
-        if not clear:
-            whole = self._together(plain)
-            if whole and whole[1] > best[0]:
-                return whole
-        return (-best[2], best[0]) if best[0] >= self.least else (0, 0.0)
-
-    def _together(self, plain: list[str]) -> tuple[int, float] | None:
-        """The value as one run of letters against names written the same way."""
-        text = "".join(plain)
-        n = self.joined.get(text)
-        if n is not None:
-            return self.names[n][0], 0.99
-        if len(text) >= 3:
-            n = self.bones.get(text)
-            if n is not None:
-                return self.names[n][0], 0.85
-        if len(text) < 6 or len(text) > 60:
-            return None
-        most = 1 if len(text) < 8 else 2 if len(text) < 12 else 3
-        best: tuple[int, int] | None = None
-        for together, n in self.names_near.near(text, most):
-            d = distance(text, together, most)
-            if d <= most and (best is None or (d, self.names[n][0]) < best):
-                best = (d, self.names[n][0])
-        return (best[1], 1 - 0.08 * best[0]) if best else None
+    # words that run together, or are taken for other words, may fit better as a whole
+    if best[0] < least or best[4] > 0:
+        runs = together()
+        equal, bare, near = (least_of(r[k] for r in runs) for k in range(3))
+        if equal is not None:
+            run = (equal, 0.99)
+        elif bare is not None:
+            run = (bare, 0.85)
+        else:
+            run = (near[1], 1 - 0.08 * near[0]) if near else None
+        if run and run[1] > best[0]:
+            return run
+    return (-best[2], best[0]) if best[0] >= least else (0, 0.0)
 
 
 _memo: dict[tuple, Canon] = {}
 
 
+def _canon(entries: list[tuple[int, str]], least: float) -> Canon:
+    key = (len(entries), hash(tuple(entries)), least)
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = Canon(entries, least)
+    return _memo[key]
+
+
 def _resolve(shared, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries = shared.value
-        key = (len(entries), hash(tuple(entries)), least)
-        if key not in _memo:
-            _memo.clear()
-            _memo[key] = Canon(entries, least)
-        canon = _memo[key]
+        canon = _canon(shared.value, least)
         for pdf in batches:
             answers = [canon.resolve(v) for v in pdf["value"]]
             yield pd.DataFrame({"value": pdf["value"], "entry": [a[0] for a in answers], "similarity": [a[1] for a in answers]})
@@ -310,21 +357,93 @@ def _resolve(shared, least: float):
     return run
 
 
+def _known_words(shared, least: float):
+    """(value, entry, known): the entry named by the whole value, and the places of its plain
+    words that are words of the block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        canon = _canon(shared.value, least)
+        for pdf in batches:
+            rows = []
+            for value in pdf["value"]:
+                words, plain = parts_of(value)
+                rows.append((value, canon.whole.get(" ".join(words)), [i for i, w in enumerate(plain) if w in canon.vocabulary]))
+            out = pd.DataFrame(rows, columns=["value", "entry", "known"])
+            yield out.assign(entry=out["entry"].astype("Int64"))
+
+    return run
+
+
+def _facts(shared, least: float):
+    """(value, facts) of a block, without those that tell nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        canon = _canon(shared.value, least)
+        for pdf in batches:
+            rows = []
+            for value, at in zip(pdf["value"], pdf["known"]):
+                words, plain = parts_of(value)
+                if not plain:
+                    continue
+                known = [i in set(at) for i in range(len(plain))]
+                f = canon.facts(words, plain, known)._replace(together=canon.together(plain))
+                if f.spans or f.matched or any(f.close) or any(t is not None for t in f.together):
+                    rows.append((value, pickle.dumps(tuple(f))))
+            yield pd.DataFrame(rows, columns=["value", "facts"])
+
+    return run
+
+
+def _decide(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for value, packed in zip(pdf["value"], pdf["facts"]):
+                words, plain = parts_of(value)
+                parts = [Facts(*pickle.loads(p)) for p in packed]  # written by _facts of this job
+                rows.append((value, *decide(words, plain, parts, lambda parts=parts: [p.together for p in parts], least)))
+            yield pd.DataFrame(rows, columns=["value", "entry", "similarity"])
+
+    return run
+
+
+_ANSWER = "value string, entry long, similarity double"
+
+
+def _by_blocks(rows: DataFrame, pairs: DataFrame, blocks: int, make, schema: str, least: float) -> DataFrame:
+    """The union of what ``make`` gives for each block of the list, one block after another."""
+    spark, out = rows.sparkSession, []
+    for b in range(blocks):
+        entries = [(r.e, r.name) for r in pairs.where(F.col("block") == b).collect()]
+        shared = spark.sparkContext.broadcast(sorted(entries))
+        out.append(cut(rows.mapInPandas(make(shared, least), schema), "block"))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, out)
+
+
 def resolve(values: DataFrame, reference: DataFrame, entry: str, names: list[str], least: float = 0.6, max_entries: int = 100_000) -> DataFrame:
     """(value, entry, similarity) of each distinct value of the column ``value``; ``names``
     are the columns of ``reference`` that name its entry."""
     spark = values.sparkSession
     pairs = reference.select(F.col(entry).cast("long").alias("e"), F.explode(F.array(*names)).alias("name"))
-    pairs = pairs.where(has_value("name")).distinct()
-    known = sorted((r.e, r.name) for r in pairs.toLocalIterator())
-    distinct = values.select("value").where(has_value("value")).distinct()
-    spread = cut(distinct.repartition(F.xxhash64("value")), "values")
-    blocks = [known[i : i + max_entries] for i in range(0, len(known), max_entries)] or [[]]
-    schema = "value string, entry long, similarity double"
-    answers = [spread.mapInPandas(_resolve(spark.sparkContext.broadcast(b), least), schema) for b in blocks]
-    if len(answers) == 1:
-        return answers[0]
-    both = reduce(DataFrame.unionByName, answers)
-    return both.groupBy("value").agg(
-        F.max_by("entry", F.struct("similarity", -F.col("entry"))).alias("entry"), F.max("similarity").alias("similarity")
+    pairs = cut(pairs.where(has_value("name")).distinct(), "entries")
+    sums = pairs.agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("letters")).first()
+    blocks = max(-(-sums.n // max_entries), -(-(sums.letters or 0) // (64 * max_entries)), 1)
+    distinct = values.select("value").where(has_value("value")).distinct().repartition(tasks(spark), "value")
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast(sorted((r.e, r.name) for r in pairs.collect()))
+        return distinct.mapInPandas(_resolve(shared, least), _ANSWER)
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("e", "name"), F.lit(blocks)))
+    spread = cut(distinct, "values")
+    seen = _by_blocks(spread, pairs, blocks, _known_words, "value string, entry long, known array<int>", least)
+    seen = cut(seen.groupBy("value").agg(F.min("entry").alias("entry"), F.flatten(F.collect_list("known")).alias("known")), "seen")
+    rest = cut(seen.where("entry is null").select("value", "known"), "rest")
+    facts = _by_blocks(rest, pairs, blocks, _facts, "value string, facts binary", least)
+    facts = facts.groupBy("value").agg(F.collect_list("facts").alias("facts"))
+    decided = facts.mapInPandas(_decide(least), _ANSWER)
+    answers = seen.join(decided.withColumnRenamed("entry", "found"), "value", "left")
+    return answers.select(
+        "value",
+        F.coalesce("entry", "found", F.lit(0)).cast("long").alias("entry"),
+        F.when(F.col("entry").isNotNull(), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"),
     )
