@@ -25,14 +25,19 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessellum.sources.scratch import cut
 
 Q = 6
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+# a tag of any length if its attributes have values, else a short one: a comparison is none
+_TAG = re.compile(r"""</?[a-zA-Z](?:[^<>]{0,200}|[\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))*\s*/?)>""")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrt\"'/\\])")
 _INNER = re.compile(r"(?<=\w)['’‘ʼ`´\-‐‑­](?=\w)|(?<=\w)[-‐­]\s*\n\s*(?=\w)|[​‌‍⁠­﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -87,6 +92,9 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append(words)
                 texts.append(" ".join(words))
+        self.sets = [frozenset(w) for w in self.words]
+        # different words of the text that an acceptable copy of any window has at least
+        self.fewest = [min(len(set(w[i : i + rule.words])) for i in range(len(w) - rule.words + 1)) - rule.altered for w in self.words]
         self.bounds = np.array([self._bound(w) for w in self.words], dtype=np.int64)
         codes = [_codes(t) for t in texts]
         every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
@@ -95,6 +103,11 @@ class Items:
         self.owner = owner[order]
         self.grams, self.start = np.unique(every[order], return_index=True)
         self.count = np.diff(np.append(self.start, len(every)))
+        # most q-grams of a text are none of the items': a bit for each low part of a code says so
+        bits = min(26, max(16, len(self.grams).bit_length() + 6))
+        self.low = np.uint64((1 << bits) - 1)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[self.grams & self.low] = True
 
     def _bound(self, words: list[str]) -> int:
         """Shared q-grams that any acceptable copy of any of the item's windows keeps."""
@@ -108,6 +121,8 @@ class Items:
 
     def _enough_words(self, n: int, vocabulary: set[str]) -> bool:
         """Whether any window of the item has enough words that the text has anywhere."""
+        if len(self.sets[n] & vocabulary) < self.fewest[n]:
+            return False
         size, need = self.rule.words, self.rule.words - self.rule.altered
         hits = [w in vocabulary for w in self.words[n]]
         have = sum(hits[:size])
@@ -129,12 +144,12 @@ class Items:
             return []
         text = " ".join(words)
         codes = _codes(text)
-        at = np.searchsorted(self.grams, codes)
-        at[at == len(self.grams)] = 0
-        hit = np.flatnonzero(self.grams[at] == codes)
+        hit = np.flatnonzero(self.seen[codes & self.low])
+        gram = np.minimum(np.searchsorted(self.grams, codes[hit]), len(self.grams) - 1)
+        same = self.grams[gram] == codes[hit]
+        hit, gram = hit[same], gram[same]
         if not len(hit):
             return []
-        gram = at[hit]
         times = self.count[gram]
         spots = np.repeat(hit, times)
         ends = np.cumsum(times)
@@ -218,39 +233,39 @@ def _aligned(at: list, i: int, size: int, rule: Rule) -> bool:
     return False
 
 
-_indexes: dict[int, Items] = {}
-
-
-def blocks(items: list[tuple[int, str]], max_bytes: int) -> list[list[tuple[int, str]]]:
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item in items:
-        size += len(item[1])
-        if size > max_bytes and out[-1]:
-            out.append([])
-            size = len(item[1])
-        out[-1].append(item)
-    return out
-
-
-def find(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, rule: Rule = Rule(), max_bytes: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id) of each document that contains a passage of an item."""
-    spark = docs.sparkSession
-    known = [(int(r[0]), r[1]) for r in items.select(item_id, passage).where(f"{passage} is not null").toLocalIterator()]
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("text is not null and text <> ''")
-    out = None
-    for block in blocks(sorted(known), max_bytes):
-        shared = spark.sparkContext.broadcast(block)
-        found = rows.mapInPandas(_search(shared, rule), "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
-    return out
+_index: dict[tuple, Items] = {}
 
 
 def _search(shared, rule: Rule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Items(shared.value, rule)
+        key = (len(shared.value), hash(tuple(shared.value)), rule)
+        if key not in _index:
+            _index.clear()
+            _index[key] = Items(shared.value, rule)
+        index = _index[key]
         for pdf in batches:
             rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in index.found(normal_words(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
     return run
+
+
+def find(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, rule: Rule = Rule(), max_bytes: int = 4_000_000) -> DataFrame:
+    """(doc_id, item_id) of each document that contains a passage of an item. The driver holds
+    one block of items at a time, of about ``max_bytes``."""
+    spark = docs.sparkSession
+    known = items.select(items[item_id].cast("long").alias("i"), items[passage].alias("t")).where("t is not null")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("text is not null and text <> ''")
+    known = cut(known, "items")
+    size = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = size // max_bytes + 1
+    out = []
+    for b in range(blocks):
+        block = known if blocks == 1 else known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        shared = spark.sparkContext.broadcast(sorted((r.i, r.t) for r in block.collect()))
+        found = rows.mapInPandas(_search(shared, rule), "doc_id long, item_id long")
+        if blocks > 1:
+            found = cut(found, "leaks")
+            shared.unpersist()
+        out.append(found)
+    return reduce(DataFrame.unionByName, out)
