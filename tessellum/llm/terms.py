@@ -6,9 +6,12 @@ before anything is shuffled, then split into terms, summed by term, and merged i
 partitions of a persistent table that hold those terms. Other partitions are not touched.
 
 ``TermStore`` keeps, below one path, ``counts/<batch>/bucket=<k>`` with the rows of the
-buckets that a batch rewrote, and ``manifest/<batch>`` with the batch that holds each bucket
-and the records counted so far. A batch counts once its manifest is complete; one that was
-broken off leaves the store as it was, and one that is applied again is skipped.
+buckets that a batch rewrote, and ``manifest/<batch>`` with the batch that holds each bucket,
+the batches applied and the records counted so far. A batch counts once its manifest is
+complete; one that was broken off leaves the store as it was, and one that is applied again is
+skipped. The number of buckets follows from the first batch; it doubles, and the next batch
+rewrites all of them, when there are more than ``BUCKET_TERMS`` terms for each. ``compact``
+removes what no manifest but the last needs.
 
 Null, blank and ``nan`` texts are no values and count nowhere. Records removed before they
 were added count negative until the addition arrives; ``counts`` leaves out terms without
@@ -66,14 +69,18 @@ def texts(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return df.select(F.inline(pairs), sign.alias("sign")).where(has_value("text"))
 
 
-_MANIFEST = "n long, batch string, held map<int,string>, records map<string,long>"
+_MANIFEST = "n long, batches array<string>, held map<int,string>, records map<string,long>, buckets int, terms long"
+_COUNTS = "field string, term string, occurrences long, records long"
+BUCKET_TERMS = 500_000
+LEAST_BUCKETS = 32
 
 
 class TermStore:
     """Persistent counts of the fields in ``fields`` (column name to splitter name)."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: dict[str, str], buckets: int = 32) -> None:
-        self.spark, self.path, self.fields, self.buckets = spark, path, fields, buckets
+    def __init__(self, spark: SparkSession, path: str, fields: dict[str, str], bucket_terms: int = BUCKET_TERMS, buckets: int = LEAST_BUCKETS) -> None:
+        self.spark, self.path, self.fields, self.bucket_terms = spark, path, fields, bucket_terms
+        self.buckets, self.terms = buckets, 0
         self.held: dict[int, str] = {}
         self.records: dict[str, int] = dict.fromkeys(fields, 0)
         self.batches: list[str] = []
@@ -82,18 +89,14 @@ class TermStore:
     def _open(self) -> None:
         if not scratch.exists(self.spark, f"{self.path}/manifest"):
             return
-        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/*")
-        rows = sorted(rows.collect(), key=lambda r: r.n)  # a row for each batch
-        for r in rows:
-            self.batches.append(r.batch)
-            self.held, self.records = dict(r.held), dict(r.records)
+        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/*").orderBy(F.desc("n")).limit(1)
+        for r in rows.collect():
+            self.batches, self.held, self.records = list(r.batches), dict(r.held), dict(r.records)
+            self.buckets, self.terms = r.buckets, r.terms
 
     def _read(self, buckets: list[int]) -> DataFrame | None:
         paths = [f"{self.path}/counts/{self.held[b]}/bucket={b}" for b in buckets if b in self.held]
-        if not paths:
-            return None
-        read = self.spark.read.schema("field string, term string, occurrences long, records long").parquet(*paths)
-        return read
+        return self.spark.read.schema(_COUNTS).parquet(*paths) if paths else None
 
     def apply(self, delta: DataFrame, batch: str) -> None:
         """Merge ``delta`` (the fields' columns, and ``sign`` if records are removed)."""
@@ -107,38 +110,34 @@ class TermStore:
         for field, how in self.fields.items():
             split = F.when(F.col("field") == field, SPLITTERS[how](F.col("text"))).otherwise(split)
         found = by_text.select("field", "n", split.alias("terms"))
-        # the records of a text count once for each of its terms, occurrences as often as it has them
-        each = found.select(
-            "field",
-            "n",
-            F.explode(F.array_distinct("terms")).alias("term"),
-            "terms",
-        ).select(
-            "field",
-            "term",
-            (F.col("n") * F.size(F.filter("terms", lambda t: t == F.col("term")))).alias("occurrences"),
-            F.col("n").alias("records"),
-        )
-        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int").alias("bucket")
+        # each occurrence of a term counts, the records of a text once for each of its terms
+        times = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("o"), F.lit(0).alias("r")))
+        once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("o"), F.lit(1).alias("r")))
+        each = found.select("field", "n", F.inline(F.concat(times, once)))
         sums = scratch.cut(
             each.groupBy("field", "term")
-            .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            .where("occurrences <> 0 or records <> 0")
-            .select("*", bucket),
+            .agg(F.sum(F.col("n") * F.col("o")).alias("occurrences"), F.sum(F.col("n") * F.col("r")).alias("records"))
+            .where("occurrences <> 0 or records <> 0"),
             "delta-terms",
         )
-        touched = sorted(r.bucket for r in sums.select("bucket").distinct().collect())  # at most self.buckets
-        merged = sums
-        old = self._read(touched)
-        if old is not None:
-            merged = sums.unionByName(old.select("*", bucket))
+        # at least the larger of the two sides: enough to size the buckets by
+        terms, buckets = max(self.terms, sums.count()), self.buckets
+        while terms > self.bucket_terms * buckets:
+            buckets *= 2
+        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(buckets)).cast("int").alias("bucket")
+        placed = sums.select("*", bucket)
+        if buckets == self.buckets:
+            touched = sorted(r.bucket for r in placed.select("bucket").distinct().collect())  # at most self.buckets
+            old, held = self._read(touched), dict(self.held)
+        else:
+            touched, old, held = list(range(buckets)), self._read(sorted(self.held)), {}
+        merged = placed if old is None else placed.unionByName(old.select("*", bucket))
         merged = (
-            merged.repartition(min(max(len(touched), 1), self.buckets), "bucket")
+            merged.repartition(max(len(touched), 1), "bucket")
             .groupBy("bucket", "field", "term")
             .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
             .where("occurrences <> 0 or records <> 0")
         )
-        held = dict(self.held)
         if touched:
             merged.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/counts/{batch}")
             for b in touched:
@@ -146,19 +145,30 @@ class TermStore:
                     held[b] = batch
                 else:  # every term of the bucket is gone
                     held.pop(b, None)
-        records = {f: self.records.get(f, 0) + added.get(f, 0) for f in self.fields}
-        row = [(len(self.batches), batch, held, records)]
+        self.records = {f: self.records.get(f, 0) + added.get(f, 0) for f in self.fields}
+        self.held, self.buckets, self.batches = held, buckets, [*self.batches, batch]
+        stored = self._read(sorted(held))
+        self.terms = stored.count() if stored is not None and touched else self.terms
+        row = [(len(self.batches), self.batches, held, self.records, buckets, self.terms)]
         self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch}")
-        self.batches.append(batch)
-        self.held, self.records = held, records
         scratch.drop(by_text)
         scratch.drop(sums)
 
+    def compact(self) -> None:
+        """Remove the folders of batches that hold no bucket any more, and all manifests but
+        the last. Nothing else may read the store meanwhile."""
+        last, used = self.batches[-1:], set(self.held.values())
+        for batch in self.batches:
+            if batch not in used:
+                scratch.delete(self.spark, f"{self.path}/counts/{batch}")
+            if batch not in last:
+                scratch.delete(self.spark, f"{self.path}/manifest/{batch}")
+
     def counts(self) -> DataFrame:
         """(field, term, occurrences, records)."""
         read = self._read(sorted(self.held))
         if read is None:
-            return self.spark.createDataFrame([], "field string, term string, occurrences long, records long")
+            return self.spark.createDataFrame([], _COUNTS)
         return read.where("records > 0")
 
     def marks(self, rare_below: int = 3, common_percent: int = 1) -> DataFrame:

@@ -18,7 +18,9 @@ Null and empty texts have the empty list. Strings of special tokens are ordinary
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 import regex
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-tokenization pattern of the byte-level vocabularies.
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_DIR = "/opt/tokenizers"
+MOST_BYTES = 64_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -51,9 +54,9 @@ class Vocabulary:
         self.longest = max(map(len, tokens))
 
     @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def load(cls, content: bytes) -> Vocabulary:
+        """Of the content of a tokenizer file."""
+        model = json.loads(content)["model"]
         letters = _byte_letters()
         spell = lambda s: bytes(letters[c] for c in s)
         ids = model["vocab"]
@@ -112,6 +115,7 @@ class WordTrie:
     def __init__(self, vocabulary: Vocabulary, keep: int = 400_000) -> None:
         self.vocabulary, self.keep = vocabulary, keep
         self.known: dict[str, list[int]] = {}
+        self.computed = 0  # prefixes whose last token was searched for
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
@@ -133,6 +137,7 @@ class WordTrie:
                     break
                 shared += 1
             del last[shared + 1 :]
+            self.computed += len(spelling) - shared
             for end in range(shared + 1, len(spelling) + 1):
                 for start in range(max(0, end - longest), end):
                     token = tokens.get(spelling[start:end])
@@ -152,23 +157,30 @@ class WordTrie:
         return [i for w in words for i in known[w]]
 
 
-_tries: dict[str, WordTrie] = {}
+_tries: dict[tuple, WordTrie] = {}
 
 
-def _trie(path: str, keep: int) -> WordTrie:
-    if path not in _tries:
-        _tries[path] = WordTrie(Vocabulary.load(path), keep)
-    return _tries[path]
+def _trie(content: bytes, keep: int) -> WordTrie:
+    key = (zlib.crc32(content), len(content), keep)
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = WordTrie(Vocabulary.load(content), keep)
+    return _tries[key]
 
 
 def encode(df: DataFrame, text: str, path: str = f"{DEFAULT_DIR}/byte_bpe_50k.json", keep: int = 400_000, out: str = "ids") -> DataFrame:
     """``df`` with the integer array ``out``, the encoding of the column ``text``. A column
-    of ``df`` that is called ``out`` is replaced."""
+    of ``df`` that is called ``out`` is replaced. The driver reads the vocabulary file and sends
+    it with the job; files beyond ``MOST_BYTES`` are refused."""
+    content = Path(path).read_bytes()
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"{path} has {len(content)} bytes; a vocabulary of at most {MOST_BYTES} is sent to the executors")
+    shared = df.sparkSession.sparkContext.broadcast(content)
     pattern = regex.compile(PATTERN)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = _trie(path, keep)
+        trie = _trie(shared.value, keep)
         for batch in batches:
             split = [pattern.findall(t) if t else [] for t in batch]
             trie.learn({w for ws in split for w in ws})

@@ -24,6 +24,23 @@ def test_term_deltas_equal_recount(spark):
         assert s.records == {"text": 5}
     store.apply(n.limit(0), "empty")
     assert store.counts().count() == 4
+    store.compact()
+    again = terms.TermStore(spark, path, {"text": terms.WORDS})
+    assert again.batches == ["one", "two", "empty"] and again.buckets == 4 and again.counts().count() == 4
+
+
+def test_term_store_grows(spark):
+    path = new_path(spark, "t")
+    store = terms.TermStore(spark, path, {"text": terms.WORDS}, bucket_terms=10, buckets=1)
+    one = [(" ".join(f"w{i}" for i in range(8)),), ("w1 w1",)]
+    two = [(" ".join(f"w{i}" for i in range(5, 60)),), ("long " * 20_000,)]
+    for name, rows in (("one", one), ("two", two), ("three", [("w1 w59",)])):
+        store.apply(spark.createDataFrame(rows, "text string"), name)
+        store.compact()
+    again = terms.TermStore(spark, path, {"text": terms.WORDS}, bucket_terms=10)
+    assert again.buckets == 8 and again.terms == 61
+    got = {r.term: (r.occurrences, r.records) for r in again.counts().collect()}
+    assert len(got) == 61 and got["w1"] == (4, 3) and got["w6"] == (2, 2) and got["long"] == (20_000, 1)
 
 
 def test_set_pairs_match_brute_force(spark):
