@@ -3,8 +3,8 @@
 Every distinct field text is read under all dialects its characters allow (a wrapper, a set
 of quote characters, a set of delimiters). A reading costs the bits of its dialect, of its
 values, and of structure characters left at the edges of values. Value codes are shared by
-all fields: a value costs ``-log2`` of the share of contexts that support it, an unknown
-value is spelled out letter by letter. A context is a field's text without anything but
+all fields: a value costs ``-log2`` of the share of contexts that support it and its part of
+spelling it once for all of them; an unknown value is spelled out letter by letter. A context is a field's text without anything but
 letters and digits, so that one list written in many dialects counts once, and a field's own
 context is left out of its codes: a list that recurs as a whole can't become a value of
 itself. The cheapest reading wins; codes are estimated twice, first with all readings of a
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessellum.session import tasks
 from tessellum.sources.scratch import cut, drop
 from tessellum.sources.tables import has_value
 
@@ -181,7 +182,9 @@ def _score(cands: DataFrame, weighted: DataFrame) -> DataFrame:
     seen = F.greatest(F.coalesce("mass", F.lit(0.0)) - F.coalesce("own", F.lit(0.0)), F.lit(0.0))
     spelled = F.pow(F.lit(2.0), -SPELL_BITS * F.least("len", F.lit(200)))
     far = SPELL_BITS * F.greatest(F.col("len") - 200, F.lit(0))
-    bits = far - F.log2((1 - ESCAPE) * seen / F.greatest("total", F.lit(1.0)) + ESCAPE * spelled)
+    code = far - F.log2((1 - ESCAPE) * seen / F.greatest("total", F.lit(1.0)) + ESCAPE * spelled)
+    # the contexts that share a value share what spelling it once costs
+    bits = F.least(SPELL_BITS * F.col("len") - F.log2(F.lit(ESCAPE)), code + SPELL_BITS * F.col("len") / (seen + 1))
     costs = each.groupBy("field", "context", "n").agg(
         F.sum(F.when(F.col("key").isNull(), 0.0).otherwise(bits)).alias("value_bits")
     )
@@ -213,7 +216,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def choose_dialects(texts: DataFrame) -> DataFrame:
     """(text, dialect, vals) for each distinct value of the column ``text``."""
-    fields = texts.select("text").where(has_value("text")).distinct()
+    fields = texts.select("text").where(has_value("text")).distinct().repartition(tasks(texts.sparkSession), "text")
     fields = cut(fields, "fields")
     cands = cut(fields.mapInPandas(_all_readings, _READINGS), "readings")
     first = cut(_best(_score(cands, cands.withColumn("weight", 1 / F.col("of")))), "dialects")
