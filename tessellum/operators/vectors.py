@@ -21,6 +21,24 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v * v))
 
 
+def normalized(v: Column) -> Column:
+    """The vector with length 1; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+
+
+def weighted_sum(df: DataFrame, group: str, vector: str, weight: str) -> DataFrame:
+    """(group, dim, value): the sum of the group's vectors by weight."""
+    each = df.select(group, weight, F.posexplode(vector).alias("dim", "x"))
+    return each.groupBy(group, "dim").agg(F.sum(F.col("x").cast("double") * F.col(weight)).alias("value"))
+
+
+def simple_matching(a: Column, b: Column) -> Column:
+    """Share of the places at which two arrays are equal."""
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.try_divide(F.aggregate(same, F.lit(0), lambda s, x: s + x), F.size(a))
+
+
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, dim, value): mean of the group's vectors, one row for each dimension."""
     each = df.select(group, F.posexplode(vector).alias("dim", "x"))

@@ -6,9 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import data_problems, reference, shared_sql
-
-MODULES = [data_problems, reference, shared_sql]
+from tessellum.plans import (
+    corpus_io,
+    data_problems,
+    evaluation_queries,
+    functions,
+    graph_queries,
+    hierarchy_queries,
+    model_queries,
+    reference,
+    relational_queries,
+    sampling_queries,
+    vector_queries,
+)
+
+MODULES = [
+    data_problems,
+    reference,
+    relational_queries,
+    functions,
+    corpus_io,
+    graph_queries,
+    sampling_queries,
+    vector_queries,
+    evaluation_queries,
+    hierarchy_queries,
+    model_queries,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
