@@ -98,10 +98,11 @@ def answer(df: DataFrame, prompt: str, model: str, retries: int = 3, batch: int
 
 
 def type_paths(df: DataFrame, table: Column, model: str, mode: str = "root", known: str = "", examples: str = "") -> DataFrame:
-    """``df`` with ``paths``: the type paths of each table in the answer, cleaned."""
+    """``df`` with ``paths``: the type paths of each table in the answer, cleaned; none without
+    an answer."""
     said = MODES[mode].format(known=known, examples=examples)
     asked = answer(df.withColumn("__prompt", render("type_path", mode=F.lit(said), table=table)), "__prompt", model)
-    return asked.withColumn("paths", T.clean_paths(T.after_think(F.col("answer")))).drop("__prompt", "answer")
+    return asked.withColumn("paths", T.clean_paths(T.after_think(F.coalesce("answer", F.lit(""))))).drop("__prompt", "answer")
 
 
 def asked(df: DataFrame, template: str, model: str, out: str, **columns: Column) -> DataFrame:

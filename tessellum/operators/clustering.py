@@ -96,8 +96,7 @@ def ward_by_group(df: DataFrame, group: str, key: str, vector: str, least: int,
             raise ValueError(f"a group of {len(pdf)} items; linkage takes {MAX_ITEMS} at most")
         pdf = pdf.sort_values(key)
         x = np.stack([np.asarray(v, dtype=float) for v in pdf[vector]])
-        sq = (x**2).sum(axis=1)
-        dist = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0))
+        dist = _distances(x)
         merges = linkage(dist, "ward")
         best, labels, count = -2.0, np.zeros(len(x), dtype=int), 1
         for k in range(max(2, least), min(most, len(x))):
@@ -166,16 +165,32 @@ def silhouette_of(df: DataFrame, key: str, label: str, vector: str) -> DataFrame
     return each.agg(F.avg(s).alias("silhouette"), F.count("*").alias("n"))
 
 
+def near_pairs(rows: DataFrame, eps: float, pivots: int = 3) -> DataFrame:
+    """(i, j, d) of all rows (k, v) within ``eps`` of each other, both ways. By the triangle
+    inequality such rows lie at most ``eps`` apart in their distances to a pivot, so only rows of
+    the same and neighbouring steps of the distances to a few pivots are compared."""
+    from tessellum.operators.vectors import euclidean
+
+    marks = [list(map(float, r.v)) for r in rows.orderBy("k").limit(pivots).collect()]
+    steps = [F.floor(euclidean(F.col("v"), F.array(*[F.lit(x) for x in m])) / eps).cast("long") for m in marks] or [F.lit(0).cast("long")]
+    placed = rows.withColumn("cell", F.array(*steps))
+    around = placed.select(F.col("k").alias("i"), F.col("v").alias("x"), "cell")
+    for n in range(len(steps)):
+        moved = [F.array(*[F.get("cell", F.lit(m)) + (by if m == n else 0) for m in range(len(steps))]) for by in (-1, 0, 1)]
+        shifted = F.explode(F.array(*moved))
+        around = around.select("i", "x", shifted.alias("cell"))
+    both = around.join(placed.select(F.col("k").alias("j"), F.col("v").alias("y"), "cell"), "cell").where("i <> j")
+    return both.select("i", "j", F.round(euclidean(F.col("x"), F.col("y")), 9).alias("d")).where(F.col("d") <= eps)
+
+
 def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int) -> DataFrame:
     """(key, cluster): clusters of rows with at least ``least`` rows (themselves among them)
     within ``eps``, named by their smallest such row; a row near one joins the nearest, others
     are noise and get null."""
-    from tessellum.operators.vectors import euclidean
     from tessellum.sources.scratch import cut
 
     rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    pairs = rows.alias("a").join(rows.alias("b"), F.col("a.k") != F.col("b.k"))
-    near = pairs.select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.round(euclidean(F.col("a.v"), F.col("b.v")), 9).alias("d")).where(F.col("d") <= eps)
+    near = near_pairs(rows, eps)
     near = cut(near, "near")
     core = cut(near.groupBy(F.col("i").alias("k")).agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select("k"), "core")
     if least <= 1:
@@ -255,6 +270,27 @@ def optics(dist: np.ndarray, least: int, xi: float = 0.05) -> np.ndarray:
     return labels
 
 
+def optics_by_group(df: DataFrame, group: str, key: str, vector: str, least: int, xi: float = 0.05) -> DataFrame:
+    """(group, key, cluster) by ``optics`` in each group of at most ``MAX_ITEMS`` rows; larger
+    ones are an error."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_ITEMS:
+            raise ValueError(f"a group of {len(pdf)} items; clusters by reachability take {MAX_ITEMS} at most")
+        pdf = pdf.sort_values(key)
+        x = np.stack([np.asarray(v, dtype=float) for v in pdf[vector]])
+        dist = _distances(x)
+        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": optics(dist, least, xi)})
+
+    return df.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
+
+
+def _distances(x: np.ndarray) -> np.ndarray:
+    sq = (x**2).sum(axis=1)
+    return np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0))
+
+
 METHODS = ("ward", "kmeans", "bisecting", "mixture", "dbscan")
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessellum.functions import text as T
+from tessellum.operators import ordering
 
 FRACTION = 100  # cells that vote; the last cell of a column never does
 KINDS = ("long_text", "named_entity", "number", "date", "empty", "other")
@@ -109,15 +109,23 @@ def columns(df: DataFrame, table: str, col: str, vals: str) -> DataFrame:
         (total(F.transform("present", lambda c: F.size(F.split(F.trim(c), r"\s+")))) < 20 * F.size("present")).alias("entity"),
     )
     tlc = F.when(F.col("kind") != "named_entity", 0.0).otherwise(F.try_divide(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - 1))
-    place = F.row_number().over(W.partitionBy("f").orderBy("col_id")) - 1
-    return typed.select("f", "col_id", place.alias("idx"), "kind", "n", "emc", tlc.alias("tlc"), "vt", "entity")
+    typed = typed.select("f", "col_id", "kind", "n", "emc", tlc.alias("tlc"), "vt", "entity")
+    ranked = ordering.group_rank(typed, "f", ["col_id"], "idx")
+    return ranked.select("f", "col_id", "idx", "kind", "n", "emc", "tlc", "vt", "entity")
+
+
+def _by_table(cols: DataFrame, *aggs: Column) -> DataFrame:
+    """``cols`` with aggregates of each table. They are few and joined back, so the columns of a
+    table that has most of them stay where they are."""
+    sums = cols.groupBy(F.col("f").alias("__f")).agg(*aggs)
+    return cols.join(sums, F.col("f").eqNullSafe(F.col("__f"))).drop("__f")
 
 
 def distances(cols: DataFrame) -> DataFrame:
     """``cols`` with ``df``: places after the table's first named-entity column, 0 of others."""
     ne = F.col("kind") == "named_entity"
-    first = F.min(F.when(ne, F.col("idx"))).over(W.partitionBy("f"))
-    return cols.withColumn("first_ne", first).withColumn("df", F.when(ne, F.col("idx") - F.col("first_ne")).otherwise(0))
+    both = _by_table(cols, F.min(F.when(ne, F.col("idx"))).alias("first_ne"))
+    return both.withColumn("df", F.when(ne, F.col("idx") - F.col("first_ne")).otherwise(0))
 
 
 def scores(cols: DataFrame, entities_only: bool = True) -> DataFrame:
@@ -139,15 +147,13 @@ def scores(cols: DataFrame, entities_only: bool = True) -> DataFrame:
 
 def subject_columns(scored: DataFrame) -> DataFrame:
     """(f, col_id) of the columns with the table's highest score, all of equals."""
-    best = F.max("score").over(W.partitionBy("f"))
-    return scored.withColumn("best", best).where("score = best").select("f", "col_id")
+    return _by_table(scored, F.max("score").alias("best")).where("score = best").select("f", "col_id")
 
 
 def weights(scored: DataFrame) -> DataFrame:
     """(f, col_id, w): positive scores by their sum; if there are none, 1 for the first best."""
-    part = W.partitionBy("f")
     up = F.greatest("score", F.lit(0.0))
-    ranked = scored.withColumns({"sum": F.sum(up).over(part), "top": F.max_by("idx", F.struct("score", -F.col("idx"))).over(part)})
+    ranked = _by_table(scored, F.sum(up).alias("sum"), F.max_by("idx", F.struct("score", -F.col("idx"))).alias("top"))
     return ranked.select("f", "col_id", F.when(F.col("sum") > 0, up / F.col("sum")).otherwise((F.col("idx") == F.col("top")).cast("double")).alias("w"))
 
 
@@ -158,5 +164,7 @@ def first_entities(cols: DataFrame) -> DataFrame:
 
 def leftmost(cols: DataFrame, n: int = 2) -> DataFrame:
     """(f, col_id, idx) of the columns up to the ``n``-th entity (by the sampling rule)."""
-    before = F.sum(F.col("entity").cast("int")).over(W.partitionBy("f").orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
-    return cols.withColumn("seen", F.coalesce(before, F.lit(0))).where(F.col("seen") < n).select("f", "col_id", "idx")
+    entities = ordering.top_per_group(cols.where("entity").select("f", "idx"), ["f"], ["idx"], n)
+    last = entities.groupBy(F.col("f").alias("__f")).agg(F.max("idx").alias("last"), F.count("*").alias("have"))
+    both = cols.join(last, F.col("f").eqNullSafe(F.col("__f")), "left")
+    return both.where((F.coalesce("have", F.lit(0)) < n) | (F.col("idx") <= F.col("last"))).select("f", "col_id", "idx")

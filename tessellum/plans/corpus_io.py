@@ -65,7 +65,7 @@ def src4_labelled_sample(s, d):
     return corpus.labelled_sample(_cells(s, d), types, 5)
 
 
-@query(f"select fileName file_name, class, superclass is null or lower(trim(superclass)) in ('', 'nan') bare from table_gt where fileName is not null and class is not null and trim(class) <> ''")
+@query(f"select fileName file_name, class, superclass is null or lower(trim(superclass)) in ('', 'nan') or regexp_matches(superclass, '^\\s*\\[\\s*\\]\\s*$') bare from table_gt where fileName is not null and class is not null and trim(class) <> ''")
 def src5_table_types(s, d):
     path = new_path(s, "types") + "/gt.csv"
     sinks.write_csv(table(s, d, "table_gt").select("fileName", "class", "superclass").where("trim(class) <> ''"), path)
@@ -197,3 +197,11 @@ def cache2_resume(s, d):
     done = table(s, d, "table_gt").where("class = 'Place' and fileName is not null").select("fileName")
     sinks.append_jsonl(done, path)
     return sinks.remaining(table(s, d, "column_gt").select("fileName").distinct(), corpus.read_results(s, path, "fileName string"), "fileName").where("fileName is not null")
+
+
+@query(f"with {_CELLS} select table_name, count(*) n from cells group by 1")
+def sc17_nested_corpus(s, d):
+    """A corpus with folders inside."""
+    folder = _folder(s, d).rsplit("/", 1)[0]
+    cells = corpus.scan(s, folder, nested=True).where("col_name <> 's_acctbal'")
+    return cells.where(~F.col("table_name").startswith("part-")).groupBy("table_name").agg(F.count("*").alias("n"))

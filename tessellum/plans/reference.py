@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessellum.functions import text as T
-from tessellum.operators import clustering, forest, graphs, relational as R, subject, vectors as V
+from tessellum.operators import clustering, forest, graphs, ordering, relational as R, subject, vectors as V
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import has_value, table
 
@@ -261,6 +261,53 @@ def typed_columns(s: SparkSession, d: str) -> DataFrame:
     return subject.columns(table(s, d, "column_gt"), "fileName", "col_id", "vals")
 
 
+@query()
+def sc2_annotated(s, d):
+    """The kind of each column by the vote over its cells."""
+    return typed_columns(s, d).select("f", "col_id", "kind")
+
+
+@query()
+def sc16_features(s, d):
+    """The features of each column (SC3 to SC7): share of empty cells, unique share, acronyms,
+    distance to the first entity, context match, web score."""
+    zero = F.lit(0.0)
+    t = subject.distances(typed_columns(s, d))
+    uc = F.when(F.col("n") > 0, 1.0).otherwise(0.0)
+    return t.select("f", "col_id", F.round("emc", 6).alias("emc"), uc.alias("uc"), zero.alias("ac"), "df", zero.alias("cm"), zero.alias("ws"))
+
+
+@query(f"""with {_CELLS} select col_id, avg(case when length(cell) < 3 and cell <> lower(cell) or length(cell) < 6 and regexp_matches(cell, '^[A-Z.]{{2,}}$') then 1 else 0 end) > 0.5 ac from cells group by 1""")
+def sc5_acronym_columns(s, d):
+    """Whether more than half of a column's cells are acronyms: the documented variant of ``ac``."""
+    hit = F.coalesce(T.is_acronym(F.col("cell")), F.lit(False)).cast("int")
+    return cells(s, d).groupBy("col_id").agg((F.avg(hit) > 0.5).alias("ac"))
+
+
+@query("""with w as (select col_id, fileName f, unnest(list_distinct(regexp_extract_all(lower(colName), '[a-z0-9]+'))) w from column_gt where colName is not null),
+    t as (select table_name f, w, count(*) n from (select table_name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) w from documents where table_name is not null and text is not null) group by 1, 2),
+    x as (select table_name f, w, count(*) n from (select table_name, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) w from documents where table_name is not null) group by 1, 2)
+    select w.col_id, cast(sum(coalesce(t.n, 0) + 2 * coalesce(x.n, 0)) as bigint) score from w left join t on t.f = w.f and t.w = w.w left join x on x.f = w.f and x.w = w.w group by 1 having score > 0""")
+def sc7_context_score(s, d):
+    """How often the words of a header occur in the texts about its table, those of their sources
+    counted twice (the scores of SC7 and, with texts in place of search results, SC9)."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    w = table(s, d, "column_gt").where("colName is not null").select("col_id", F.col("fileName").alias("f"), F.explode(F.array_distinct(words("colName"))).alias("w"))
+    docs = table(s, d, "documents").where("table_name is not null").withColumnRenamed("table_name", "f")
+    said = docs.where("text is not null").select("f", F.explode(words("text")).alias("w"), F.lit(1).alias("n"))
+    named = docs.select("f", F.explode(words("source")).alias("w"), F.lit(2).alias("n"))
+    counts = said.unionByName(named).groupBy("f", "w").agg(F.sum("n").alias("n"))
+    return w.join(counts, ["f", "w"]).groupBy("col_id").agg(F.sum("n").alias("score"))
+
+
+@query()
+def sc9_converged_types(s, d):
+    """Event types by rounds of hashed rows until their entropy settles (SC9, UDF2)."""
+    from tessellum.operators import incremental
+
+    return incremental.until_settled(table(s, d, "events"), "event_id", "event_type", rounds=10, eps=0.05)
+
+
 @query()
 def sc8_length_variance(s, d):
     return typed_columns(s, d).select("f", "col_id", F.round("tlc", 6).alias("tlc"), F.round("vt", 6).alias("vt"))
@@ -374,7 +421,9 @@ def cl2_ward(s, d):
     return clustering.ward_by_group(e, "tab", "vec_id", "embedding", 2, 12)
 
 
-@query()
+@query(f"""with e as (select distinct 'c:' || lower(class) a, 's:' || lower(superclass) b from table_gt where not {_NOVAL % ('class', 'class')} and not {_NOVAL % ('superclass', 'superclass')}),
+    b as (select a x, b y from e union all select b, a from e), r as (with recursive r as (select distinct x node, x m from b union select b.y, r.m from r join b on r.node = b.x where r.m < b.y) select * from r)
+    select node, min(m) component from (select * from r union all select x, x from b) group by 1""")
 def cl8_components(s, d):
     """Connected components of tables that share a class and superclass text."""
     t = table(s, d, "table_gt").where(has_value("class") & has_value("superclass"))
@@ -511,11 +560,8 @@ def samp12_per_class(s, d):
 def gen3_header_noise(s, d):
     """Vowels dropped from a quarter of each table's headers, chosen by hash."""
     heads = table(s, d, "column_gt").select("fileName", "colName").where("colName is not null").distinct()
-    h = R.hash_order(F.col("colName"), "3")
-    order = W.partitionBy("fileName").orderBy(h, "colName")
-    n = F.count("*").over(W.partitionBy("fileName"))
-    ranked = heads.withColumns({"r": F.row_number().over(order), "n": n})
-    pick = F.col("r") <= F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * 0.25)))
+    ranked = ordering.group_rank(heads.withColumn("h", R.hash_order(F.col("colName"), "3")), "fileName", ["h", "colName"], "r", "n")
+    pick = F.col("r") < F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * 0.25)))
     return ranked.select("fileName", "colName", F.when(pick, T.drop_vowels(F.col("colName"))).otherwise(F.col("colName")).alias("new_name"))
 
 

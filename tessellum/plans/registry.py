@@ -17,6 +17,7 @@ from tessellum.plans import (
     reference,
     relational_queries,
     sampling_queries,
+    stream_queries,
     vector_queries,
 )
 
@@ -28,6 +29,7 @@ MODULES = [
     corpus_io,
     graph_queries,
     sampling_queries,
+    stream_queries,
     vector_queries,
     evaluation_queries,
     hierarchy_queries,

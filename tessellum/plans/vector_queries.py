@@ -42,9 +42,9 @@ def v_med(s, d):
     return N.pair_distances(table(s, d, "embeddings"), "vec_id", "embedding").agg(F.round(F.median("dist"), 6).alias("med"))
 
 
-@query(f"with {_NOISY} select vec_id, i dim, round(noisy[i + 1], 5) value from ns, range(64) t(i)")
+@query(f"with {_NOISY} select vec_id, i dim, round(noisy[i + 1], 5) + 0.0 value from ns, range(64) t(i)")
 def v_noise(s, d):
-    return _noisy(s, d).select("vec_id", F.posexplode("noisy").alias("p", "x")).select("vec_id", F.col("p").cast("long").alias("dim"), F.round("x", 5).alias("value"))
+    return _noisy(s, d).select("vec_id", F.posexplode("noisy").alias("p", "x")).select("vec_id", F.col("p").cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("value"))
 
 
 _QS = "[0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]"
@@ -190,6 +190,54 @@ def jn12_knn_distances(s, d):
     return near.groupBy(F.least("q", "v").alias("i"), F.greatest("q", "v").alias("j")).agg(F.round(1 - F.avg("sim"), 5).alias("dist"))
 
 
+@query(
+    f"""with {_NOISY}, bp as (select {_D} dist, round(list_distance(a.noisy, b.noisy), 9) dist2 from ns a join ns b on a.vec_id < b.vec_id),
+    df as (select vec_id, list_transform(range(len(noisy)), lambda i: noisy[i + 1] - embedding[i + 1]::double) z from ns),
+    o as (select a.vec_id q, b.vec_id v, {_NEAR.format('a.embedding::double[], b.embedding::double[]')}), z as (select a.vec_id q, b.vec_id v, {_NEAR.format('a.noisy, b.noisy')})
+    select round(median(dist), 6) typical, round(avg(abs(dist2 - dist)), 6) moved, round(corr(dist, dist2), 6) pearson,
+    (select round(sqrt(avg(power(list_distance(a.z, b.z), 2))), 6) from df a join df b on a.vec_id < b.vec_id) rms,
+    (select round(count(z.v) / count(*), 6) from o left join z on o.q = z.q and o.v = z.v and z.r <= 10 where o.r <= 10) kept from bp"""
+)
+def gen7_noise_experiment(s, d):
+    """The noisy copy of the vectors against the clean one: scale, distances, order and neighbours."""
+    e = _noisy(s, d)
+    pairs = N.pair_distances(e, "vec_id", "embedding", "noisy").agg(
+        F.round(F.median("dist"), 6).alias("typical"), F.round(F.avg(F.abs(F.col("dist2") - F.col("dist"))), 6).alias("moved"), F.round(F.corr("dist", "dist2"), 6).alias("pearson")
+    )
+    kept = win1_neighbour_overlap(s, d).agg(F.round(F.avg("share"), 6).alias("kept"))
+    return pairs.crossJoin(v_rms(s, d).select("rms")).crossJoin(kept)  # single rows
+
+
+@query()
+def cl3_kmeans(s, d):
+    return clustering.cluster(table(s, d, "embeddings"), "vec_id", "embedding", "kmeans", range(8, 13))
+
+
+@query()
+def cl4_dbscan(s, d):
+    return clustering.dbscan(table(s, d, "embeddings"), "vec_id", "embedding", 1.1, 5)
+
+
+@query()
+def cl5_optics(s, d):
+    """Clusters by reachability of the vectors of each pseudo table."""
+    e = table(s, d, "embeddings").select((F.col("vec_id") % 20).alias("tab"), "vec_id", "embedding")
+    return clustering.optics_by_group(e, "tab", "vec_id", "embedding", 3)
+
+
+@query()
+def cl6_bisecting(s, d):
+    """A tree of clusters, split step by step: the substitute of a feature tree."""
+    return clustering.cluster(table(s, d, "embeddings"), "vec_id", "embedding", "bisecting", range(8, 11))
+
+
+@query()
+def cl7_mixture(s, d):
+    """Gaussian mixture of the first eight dimensions, by the lowest information criterion."""
+    e = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
+    return clustering.cluster(e, "vec_id", "embedding", "mixture", range(2, 5))
+
+
 _Q0 = "q0 as (select vec_id r, i c, exp(embedding[i + 1]::double / 0.5) x from embeddings, range(8) t(i))"
 
 

@@ -5,7 +5,7 @@ A corpus is a folder of CSV files with a header each and no common schema. It be
 parsed whole, many to a task, since a web table is small; each larger file is read by Spark's
 own reader, which splits it. UTF-8 is tried first, then Latin-1.
 
-Defined results: a file without rows gives no cells; an empty cell and one that its row lacks
+Defined results: a file without rows gives no cells, one without any byte is no table; an empty cell and one that its row lacks
 are null; cells beyond the header get no name and are left out; equal header names stay apart
 by ``col_idx``.
 """
