@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessellum.sources.scratch import cut
+
 
 def hash_order(key: Column, seed: str) -> Column:
     """A reproducible random order: md5 of seed and key."""
@@ -58,7 +60,7 @@ def majority(df: DataFrame, group: list[str], label: str, ties: bool = False) ->
 
 def overlap(df: DataFrame, key: str, group: str, attr: str) -> DataFrame:
     """(key, group, shared, whole, overlap): share of the group's attributes a key has."""
-    pairs = df.select(key, group, attr).where(f"{attr} is not null").distinct()
+    pairs = cut(df.select(key, group, attr).where(f"{attr} is not null").distinct(), "overlap")  # feeds two branches
     own = pairs.groupBy(key, group).agg(F.count("*").alias("shared"))
     whole = pairs.select(group, attr).distinct().groupBy(group).agg(F.count("*").alias("whole"))
     return own.join(whole, group).select(key, group, "shared", "whole", (F.col("shared") / F.col("whole")).alias("overlap"))
@@ -105,7 +107,7 @@ def tfidf(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Mean TF-IDF of each document over the vocabulary (words of two or more characters,
     smooth idf, rows normalized)."""
     words = df.select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))).alias("w"))
-    tf = words.groupBy(doc, "w").agg(F.count("*").alias("tf"))
+    tf = cut(words.groupBy(doc, "w").agg(F.count("*").alias("tf")), "tf")  # feeds three branches
     idf = tf.groupBy("w").agg(F.count("*").alias("df"))
     size = df.select(F.count("*").alias("n"))
     vocab = idf.select(F.count("*").alias("v"))

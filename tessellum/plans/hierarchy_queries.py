@@ -379,3 +379,29 @@ def gen6_token_cost(s, d):
     prompt = F.concat(F.lit("Give the type of this table: "), F.substring("text", 1, 10_000))
     n = F.size(F.regexp_extract_all(prompt, F.lit(r"[a-zA-Z]+|[0-9]+|[^a-zA-Z0-9 \t\n\x0b\f\r]"), F.lit(0))) + 6
     return table(s, d, "documents").where("text is not null").agg(F.count("*").alias("prompts"), F.sum(n).alias("tokens"))
+
+
+def end_to_end(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Types of tables, their hierarchy, relationships, number of model types and diagram."""
+    tree = D.hierarchies(members(s, d), delta=0.5)
+    models = tree.select("grp", "parent").distinct().groupBy("grp").agg(F.count("*").alias("models"))
+    kinds = members(s, d).select("grp").distinct().join(models, "grp", "left").select("grp", F.coalesce("models", F.lit(1)).alias("models"))
+    return {"types": p_phase1_types(s, d), "hierarchy": tree, "relationships": p4c_attribute_relationships(s, d), "models": kinds, "diagram": uml_text(s, d)}
+
+
+@query()
+def e2e_driver(s, d):
+    """The parts of the whole run, with the number of their rows."""
+    out = None
+    for name, part in end_to_end(s, d).items():
+        row = part.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def cl1_dispatch(s, d):
+    """Members of clusters by the name of the method."""
+    e = table(s, d, "embeddings").where("label is not null")
+    ward = clustering.ward_by_group(e.withColumn("tab", F.col("vec_id") % 25), "tab", "vec_id", "embedding", 2, 4).select(F.lit("ward").alias("method"), "vec_id", "cluster")
+    return ward.unionByName(clustering.cluster(e, "vec_id", "embedding", "kmeans", range(4, 6)).select(F.lit("kmeans").alias("method"), "vec_id", "cluster"))

@@ -339,3 +339,51 @@ def agg12_normality(s, d):
     m = table(s, d, "documents").where("n_chars is not null").agg(F.count("*").alias("n"), F.skewness("n_chars").alias("sk"), F.kurtosis("n_chars").alias("ku"))
     jb = F.col("n") / 6.0 * (F.col("sk") * F.col("sk") + F.col("ku") * F.col("ku") / 4)
     return m.select("n", F.round("sk", 6).alias("skew"), F.round("ku", 6).alias("kurtosis"), F.round(jb, 4).alias("jb"), F.round(F.exp(-jb / 2), 6).alias("p"))
+
+
+_BRANDS = """bg as (select distinct o_custkey tab, c_nationkey class, p_brand attr from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on c_custkey = o_custkey)"""
+
+
+@query(f"with {_BRANDS} select class, count(distinct attr) attrs, count(distinct tab) tabs, string_agg(distinct attr, ',' order by attr) labels from bg group by 1")
+def agg3_sets_and_tables(s, d):
+    """The union of the attribute sets of each type's tables, and the tables."""
+    from tessellum.plans.reference import bought
+
+    b = bought(s, d).distinct()
+    sets = b.groupBy("class").agg(F.countDistinct("tab").alias("tabs"), F.array_sort(F.collect_set("attr")).alias("l"))
+    return sets.select("class", F.size("l").cast("long").alias("attrs"), "tabs", F.array_join("l", ",").alias("labels"))
+
+
+@query("with c as (select p_brand, p_size, count(*) n from part group by 1, 2) select p_brand brand, string_agg(p_size || ':' || n, ' ' order by p_size) sizes from c group by 1")
+def agg4_nested_map(s, d):
+    """Counts by two keys as a sorted map inside each first key."""
+    c = table(s, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    m = c.groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list(F.struct("p_size", "n"))).alias("l"))
+    return m.select("brand", F.array_join(F.transform("l", lambda x: F.concat(x.p_size, F.lit(":"), x.n)), " ").alias("sizes"))
+
+
+@query("with c as (select user_id, event_type, count(*) n, min(event_id) first from events group by 1, 2) select user_id, event_type, n from c qualify row_number() over (partition by user_id order by n desc, first) = 1")
+def agg6_majority_first_seen(s, d):
+    """The most frequent label, of equals the one seen first."""
+    c = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    best = c.groupBy("user_id").agg(F.min_by(F.struct("event_type", "n"), F.struct(-F.col("n"), F.col("first"))).alias("b"))
+    return best.select("user_id", "b.event_type", "b.n")
+
+
+@query(f"""with {CELLS_SQL}, z as (select col_id, case when {number_sql('cell')} then cast(cell as double) end num, length(cell) len, cell from cells where cell <> ''),
+    k as (select col_id, bool_and(num is not null) numeric_column from z group by 1), x as (select z.col_id, case when numeric_column then num else len end x, numeric_column from z join k using (col_id)),
+    c as (select col_id, x, count(*) n from x group by 1, 2), m as (select col_id, x mode from c qualify row_number() over (partition by col_id order by n desc, x) = 1)
+    select col_id, any_value(numeric_column) numeric_column, round(stddev_samp(x), 2) std, round(avg(x), 2) mean, any_value(mode) \"mode\", round(median(x), 2) median, max(x) hi, min(x) lo from x join m using (col_id) group by 1""")
+def agg11_meta_of_cells(s, d):
+    """Deviation, mean, first mode, median, largest and smallest of each column's cells, of their
+    lengths where not all are numbers."""
+    z = cells(s, d).where("cell <> ''").select("col_id", F.when(T.is_plain_number(F.col("cell")), F.col("cell").try_cast("double")).alias("num"), F.length("cell").cast("double").alias("len"))
+    kinds = z.groupBy("col_id").agg(F.bool_and(F.col("num").isNotNull()).alias("numeric_column"))
+    x = z.join(kinds, "col_id").select("col_id", "numeric_column", F.when(F.col("numeric_column"), F.col("num")).otherwise(F.col("len")).alias("x"))
+    counts = x.groupBy("col_id", "x").agg(F.count("*").alias("n"))
+    mode = counts.groupBy("col_id").agg(F.min_by("x", F.struct(-F.col("n"), F.col("x"))).alias("mode"))
+    stats = x.groupBy("col_id").agg(
+        F.first("numeric_column").alias("numeric_column"), F.round(F.stddev_samp("x"), 2).alias("std"), F.round(F.avg("x"), 2).alias("mean"),
+        F.round(F.median("x"), 2).alias("median"), F.max("x").alias("hi"), F.min("x").alias("lo"),
+    )
+    return stats.join(mode, "col_id")

@@ -354,3 +354,28 @@ def name1_frequent_words(s, d):
     t = table(s, d, "table_gt").where("class is not null and fileName is not null")
     w = t.select("class", F.explode(F.split(F.lower(F.regexp_replace("fileName", r"\.csv$", "")), "_")).alias("w")).where(F.length("w") > 2)
     return ordering.top_per_group(w.groupBy("class", "w").agg(F.count("*").alias("n")), ["class"], [F.desc("n"), "w"], 5)
+
+
+@query(f"with {_TFIDF}, v as (select col_id, cell, round(max(tfidf), 7) w from tfidf where cell <> '' group by 1, 2) select col_id, cell from v qualify row_number() over (partition by col_id order by case when w > 0 then {_DRAW.format(u=_u('''col_id || '|' || cell''', 'i'), w='w')} else 'infinity'::double end, cell) <= 2")
+def samp5_values_by_tfidf(s, d):
+    v = _tfidf(s, d).where("cell <> ''").groupBy("col_id", "cell").agg(F.round(F.max("tfidf"), 7).alias("w"))
+    return S.weighted(v, ["col_id"], "cell", "w", 2, "i").select("col_id", "cell")
+
+
+@query("""select n_nationkey class, c_custkey k, 'Thing > ' || r_name || ' > ' || n_name path from (select * from customer qualify row_number() over (partition by c_nationkey order by md5('x|' || c_custkey), c_custkey) = 1)
+    join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def samp12_examples_with_paths(s, d):
+    """One table for each class, with the way from the root to the class."""
+    c = table(s, d, "customer").select(F.col("c_nationkey").alias("class"), F.col("c_custkey").alias("k"))
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("class"), F.concat(F.lit("Thing > "), "r_name", F.lit(" > "), "n_name").alias("path"))
+    return R.sample_per_group(c, "class", "k", 1, "x").join(n, "class")
+
+
+@query()
+def ser5_subject_corpus(s, d):
+    """Texts of the subject columns and of the others, apart."""
+    from tessellum.operators import subject
+    from tessellum.plans.reference import typed_columns
+
+    subjects = subject.subject_columns(subject.scores(typed_columns(s, d))).select("col_id", F.lit("subject").alias("part"))
+    return ser4_att_val(s, d).join(subjects, "col_id", "left").select("col_id", F.coalesce("part", F.lit("rest")).alias("part"), "text")

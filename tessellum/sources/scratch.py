@@ -65,6 +65,14 @@ def drop(df: DataFrame | None) -> None:
         _written.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` wrote in this application, for long sessions: results not
+    yet read or written elsewhere are lost."""
+    for path in _written.get(spark.sparkContext.applicationId, set()):
+        delete(spark, path)
+    _written.get(spark.sparkContext.applicationId, set()).clear()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
