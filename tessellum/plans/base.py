@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellum.operators import vectors as V
 from tessellum.sources.tables import table
 
 #: SQL for a text field without a value.
@@ -42,6 +43,11 @@ def cells(s: SparkSession, d: str) -> DataFrame:
     return t.select("col_id", "fileName", "pos", F.trim("c").alias("cell"))
 
 
+def unit_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The vectors with length 1, so that the cosine of a pair is one product."""
+    return table(s, d, "embeddings").withColumn("embedding", V.normalized(F.col("embedding")))
+
+
 def plain_sql(c: str) -> str:
     """SQL of ``functions.text.plain_tokens``."""
     return f"trim(regexp_replace(regexp_replace({c}, '{PUNCT_SQL}|[0-9]', '', 'g'), '{SPACE_SQL}+', ' ', 'g'))"

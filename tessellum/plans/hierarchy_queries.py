@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.operators import clustering, dendro as D, ordering, relational as R, vectors as V
-from tessellum.plans.base import NO_VALUE_SQL, Plans
+from tessellum.plans.base import NO_VALUE_SQL, Plans, unit_vectors
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import has_value, table
 
@@ -120,13 +120,13 @@ _MATCH = f"""e as (select vec_id, vec_id % 50 tab, vec_id % 50 % 10 typ, label,
 def matches(s: SparkSession, d: str, least: float = 0.25) -> DataFrame:
     """(tab1, type1, tab2, type2, attr, cluster, sim): the subject vector of each table against
     the other columns of tables of other types, strictly above ``least``."""
-    e = table(s, d, "embeddings").withColumn("tab", F.col("vec_id") % 50).withColumn("typ", F.col("tab") % 10)
+    e = unit_vectors(s, d).withColumn("tab", F.col("vec_id") % 50).withColumn("typ", F.col("tab") % 10)
     first = e.groupBy("tab").agg(F.min("vec_id").alias("vec_id"))
     a = e.join(first, ["tab", "vec_id"], "left_semi").select(F.col("tab").alias("tab1"), F.col("typ").alias("type1"), F.col("embedding").alias("x"))
     b = e.join(first, ["tab", "vec_id"], "left_anti").select(
         F.col("tab").alias("tab2"), F.col("typ").alias("type2"), F.col("vec_id").alias("attr"), F.col("label").alias("cluster"), F.col("embedding").alias("y")
     )
-    sims = b.join(a, F.col("type1") != F.col("type2")).withColumn("sim", F.round(V.cosine(F.col("x"), F.col("y")), 5))
+    sims = b.join(a, F.col("type1") != F.col("type2")).withColumn("sim", F.round(V.dot(F.col("x"), F.col("y")), 5))
     return cut(sims.where(F.col("sim") > least).select("tab1", "type1", "tab2", "type2", "attr", "cluster", "sim"), "matches")
 
 
@@ -189,9 +189,9 @@ def p4e_cluster_share(s, d):
     r as (select tab1, tab2, max(sim) best, count(*) filter (sim > 0.4) k from al group by 1, 2) select tab1, tab2, greatest(k, 1) pairs, k > 0 aligned, best from r""")
 def p4f_alignment(s, d):
     """Pairs of columns of two tables above a threshold; without one the best pair alone."""
-    e = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("tab"), "embedding")
+    e = unit_vectors(s, d).select((F.col("vec_id") % 50).alias("tab"), "embedding")
     both = e.alias("a").join(e.alias("b"), F.col("a.tab") < F.col("b.tab"))
-    sims = both.select(F.col("a.tab").alias("tab1"), F.col("b.tab").alias("tab2"), F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("sim"))
+    sims = both.select(F.col("a.tab").alias("tab1"), F.col("b.tab").alias("tab2"), F.round(V.dot(F.col("a.embedding"), F.col("b.embedding")), 5).alias("sim"))
     r = sims.groupBy("tab1", "tab2").agg(F.max("sim").alias("best"), F.sum((F.col("sim") > 0.4).cast("long")).alias("k"))
     return r.select("tab1", "tab2", F.greatest("k", F.lit(1)).alias("pairs"), (F.col("k") > 0).alias("aligned"), "best")
 
@@ -200,10 +200,10 @@ def p4f_alignment(s, d):
     select tab1, tab2, round(avg((sim >= 0.2)::int), 6) ratio from al group by 1, 2 having avg((sim >= 0.2)::int) >= 0.4""")
 def p4g_matcher_ratio(s, d):
     """Pairs of tables in which at least four tenths of the second one's columns match one of the first."""
-    e = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("tab"), "vec_id", "embedding")
+    e = unit_vectors(s, d).select((F.col("vec_id") % 50).alias("tab"), "vec_id", "embedding")
     both = e.alias("a").join(e.alias("b"), F.col("a.tab") < F.col("b.tab"))
     best = both.groupBy(F.col("a.tab").alias("tab1"), F.col("b.tab").alias("tab2"), F.col("b.vec_id").alias("v")).agg(
-        F.max(F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding")), 5)).alias("sim")
+        F.max(F.round(V.dot(F.col("a.embedding"), F.col("b.embedding")), 5)).alias("sim")
     )
     ratio = F.avg((F.col("sim") >= 0.2).cast("int"))
     return best.groupBy("tab1", "tab2").agg(ratio.alias("r")).where("r >= 0.4").select("tab1", "tab2", F.round("r", 6).alias("ratio"))

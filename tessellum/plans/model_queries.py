@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellum.models import encoders, prompts as P
 from tessellum.operators import vectors as V
-from tessellum.plans.base import Plans
+from tessellum.plans.base import Plans, unit_vectors
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import table
 
@@ -118,6 +118,6 @@ def ml4_token_counts(s, d):
 @query("select a.vec_id i, b.vec_id j from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) >= 0.3")
 def ml6_pair_matcher(s, d):
     """Pairs of one label that a threshold on the cosine matches."""
-    e = table(s, d, "embeddings").select("label", "vec_id", "embedding")
+    e = unit_vectors(s, d).select("label", "vec_id", "embedding")
     a, b = e.toDF("label", "i", "x"), e.toDF("label", "j", "y")
-    return a.join(b, "label").where("i < j").where(F.round(V.cosine(F.col("x"), F.col("y")), 5) >= 0.3).select("i", "j")
+    return a.join(b, "label").where("i < j").where(F.round(V.dot(F.col("x"), F.col("y")), 5) >= 0.3).select("i", "j")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tessellum.functions import text as T
 from tessellum.operators import clustering, forest, graphs, ordering, relational as R, subject, vectors as V
+from tessellum.plans.base import unit_vectors
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import has_value, table
 
@@ -358,9 +359,9 @@ def win1_nearest(s, d):
     from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
     and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) >= 0.3""")
 def jn5_similar(s, d):
-    e = table(s, d, "embeddings")
+    e = unit_vectors(s, d)
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    sim = F.round(V.cosine(F.col("qe"), F.col("embedding")), 5).alias("sim")
+    sim = F.round(V.dot(F.col("qe"), F.col("embedding")), 5).alias("sim")
     return e.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), sim).where("sim >= 0.3")
 
 

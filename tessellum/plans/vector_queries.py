@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessellum.operators import clustering, noise as N, vectors as V
-from tessellum.plans.base import Plans
+from tessellum.plans.base import Plans, unit_vectors
 from tessellum.sources.scratch import cut
 from tessellum.sources.tables import table
 
@@ -149,18 +149,18 @@ def win2_best_matches(s, d):
     """The five most similar rows of each query row, if similar enough."""
     from tessellum.operators import ordering
 
-    e = table(s, d, "embeddings")
+    e = unit_vectors(s, d)
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    sims = e.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), F.round(V.cosine(F.col("qe"), F.col("embedding")), 5).alias("sim"))
+    sims = e.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), F.round(V.dot(F.col("qe"), F.col("embedding")), 5).alias("sim"))
     return ordering.top_per_group(sims.where("sim >= 0.2"), ["q"], [F.desc("sim"), "v"], 5)
 
 
 @query(f"""select a.label x, b.label y, count(*) pairs, round(max({_SIM}), 5) best from embeddings a join embeddings b on a.label < b.label where {_SIM} >= 0.3 group by 1, 2""")
 def jn10_similar_names(s, d):
     """Rows of two labels that are similar enough, counted for each pair of labels."""
-    e = table(s, d, "embeddings").select("label", "embedding")
+    e = unit_vectors(s, d).select("label", "embedding")
     both = e.alias("a").join(e.alias("b"), F.col("a.label") < F.col("b.label"))
-    sims = both.select(F.col("a.label").alias("x"), F.col("b.label").alias("y"), F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("sim"))
+    sims = both.select(F.col("a.label").alias("x"), F.col("b.label").alias("y"), F.round(V.dot(F.col("a.embedding"), F.col("b.embedding")), 5).alias("sim"))
     return sims.where("sim >= 0.3").groupBy("x", "y").agg(F.count("*").alias("pairs"), F.max("sim").alias("best"))
 
 
@@ -169,9 +169,9 @@ def jn10_similar_names(s, d):
 def jn11_positive_pairs(s, d):
     """Pairs of one label that are similar, and a tenth of the rows, by hash, with themselves
     (their words are shuffled to make the second view)."""
-    e = table(s, d, "embeddings").select("label", "vec_id", "embedding")
+    e = unit_vectors(s, d).select("label", "vec_id", "embedding")
     a, b = e.toDF("label", "i", "x"), e.toDF("label", "j", "y")
-    near = a.join(b, "label").where("i < j").where(F.round(V.cosine(F.col("x"), F.col("y")), 5) >= 0.5)
+    near = a.join(b, "label").where("i < j").where(F.round(V.dot(F.col("x"), F.col("y")), 5) >= 0.5)
     h = F.conv(F.left(F.md5(F.concat(F.lit("m|"), "vec_id")), F.lit(8)), 16, 10).cast("long")
     own = e.where(h % 10 == 0).select(F.lit("shuffled").alias("kind"), F.col("vec_id").alias("i"), F.col("vec_id").alias("j"))
     return near.select(F.lit("near").alias("kind"), "i", "j").unionByName(own)
@@ -183,9 +183,9 @@ def jn12_knn_distances(s, d):
     """Distances from the nearest neighbours of the query rows, the same both ways."""
     from tessellum.operators import ordering
 
-    e = table(s, d, "embeddings")
+    e = unit_vectors(s, d)
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    sims = e.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), F.round(V.cosine(F.col("qe"), F.col("embedding")), 5).alias("sim"))
+    sims = e.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), F.round(V.dot(F.col("qe"), F.col("embedding")), 5).alias("sim"))
     near = ordering.top_per_group(sims, ["q"], [F.desc("sim"), "v"], 5)
     return near.groupBy(F.least("q", "v").alias("i"), F.greatest("q", "v").alias("j")).agg(F.round(1 - F.avg("sim"), 5).alias("dist"))
 
