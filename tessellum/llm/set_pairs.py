@@ -22,7 +22,6 @@ sets and those under ``least`` values take no part; repeated values count once.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,6 +96,11 @@ def salts(seg, total: int) -> int:
     return min(MOST_SALTS, 1 + min((c for _, c in seg), default=total) // SALT_RECORDS)
 
 
+def salted(sig: int, salt: int) -> int:
+    """Another signature for each salt."""
+    return ((sig + (1 << 63) + salt * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _index(num: int, den: int, total: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,13 +108,13 @@ def _index(num: int, den: int, total: int):
             for sid, size, tokens, counts in zip(pdf["sid"], pdf["size"], pdf["tokens"], pdf["counts"]):
                 low, high = size_class(int(size), num, den)
                 m = segments(low, high, num, den)
-                for k, seg in enumerate(_split(list(map(int, tokens)), list(counts), m, low)):
+                for k, seg in enumerate(_split(list(map(int, tokens)), list(map(int, counts)), m, low)):
                     kinds = [(_exact(low, k, seg), seg)]
                     for i in range(len(seg)):
                         left = seg[:i] + seg[i + 1 :]
                         kinds.append((_deleted(low, k, left), left))
-                    rows.extend((sig, salt, sid, size) for sig, of in kinds for salt in range(salts(of, total)))
-            yield pd.DataFrame(rows, columns=["sig", "salt", "sid", "size"])
+                    rows.extend((salted(sig, salt), sid, size) for sig, of in kinds for salt in range(salts(of, total)))
+            yield pd.DataFrame(rows, columns=["sig", "sid", "size"])
 
     return run
 
@@ -132,14 +136,14 @@ def _probe(num: int, den: int, total: int):
         for pdf in batches:
             rows = []
             for sid, size, tokens, counts in zip(pdf["sid"], pdf["size"], pdf["tokens"], pdf["counts"]):
-                size = int(size)
+                size, sid = int(size), int(sid)
                 least = -(-num * size // den)  # the smallest size that can match
                 low, high = size_class(size, num, den)
                 while high >= least and low >= 1:
                     partner = min(high, size)
                     most = most_differ(size + max(low, least), size + partner, num, den)
                     m = segments(low, high, num, den)
-                    segs = _split(list(map(int, tokens)), list(counts), m, low)
+                    segs = _split(list(map(int, tokens)), list(map(int, counts)), m, low)
                     costs = []
                     for seg in segs:
                         rarest = min((c for _, c in seg), default=total)
@@ -155,12 +159,11 @@ def _probe(num: int, den: int, total: int):
                                 left = seg[:i] + seg[i + 1 :]
                                 kinds.append((_exact(low, k, left), left))
                         for sig, of in kinds:
-                            n = salts(of, total)
-                            rows.append((sig, 0 if n == 1 else zlib.crc32(sid.encode()) % n, sid, size))
+                            rows.append((salted(sig, sid % salts(of, total)), sid, size))
                     if low == 1:
                         break
                     low, high = size_class(low - 1, num, den)
-            yield pd.DataFrame(rows, columns=["sig", "salt", "rid", "rsize"])
+            yield pd.DataFrame(rows, columns=["sig", "rid", "rsize"])
 
     return run
 
@@ -217,16 +220,18 @@ def class_pairs(classes: DataFrame, threshold: tuple[int, int] = (7, 10)) -> Dat
     """(rid, sid, shared, size_r, size_s): pairs of different sets that are similar enough."""
     num, den = threshold
     total = max(1, classes.count())
-    slim = classes.select("sid", "size", "tokens", "counts").repartition(tasks(classes.sparkSession), "sid")
-    index = slim.mapInPandas(_index(num, den, total), "sig long, salt int, sid string, size long")
-    probe = slim.mapInPandas(_probe(num, den, total), "sig long, salt int, rid string, rsize long")
-    once = (F.col("size") < F.col("rsize")) | ((F.col("size") == F.col("rsize")) & (F.col("sid") < F.col("rid")))
+    # signatures travel with a hash for the set; two sets of one hash are told apart below
+    slim = classes.select(F.xxhash64("sid").alias("sid"), "size", "tokens", "counts").repartition(tasks(classes.sparkSession), "sid")
+    index = slim.mapInPandas(_index(num, den, total), "sig long, sid long, size int")
+    probe = slim.mapInPandas(_probe(num, den, total), "sig long, rid long, rsize int")
+    once = (F.col("size") < F.col("rsize")) | ((F.col("size") == F.col("rsize")) & (F.col("sid") <= F.col("rid")))
     fits = F.col("size") * den >= F.col("rsize") * num
-    found = probe.join(index, ["sig", "salt"]).where(once & fits).select("rid", "sid").distinct()
-    found = cut(found, "set-candidates")
-    left = classes.select(F.col("sid").alias("rid"), F.col("toks").alias("rt"))
-    right = classes.select("sid", F.col("toks").alias("st"))
-    both = found.join(left, "rid").join(right, "sid").select(
+    hit = probe.join(index, "sig").where(once & fits)
+    found = cut(hit.select(F.col("rid").alias("rh"), F.col("sid").alias("sh")).distinct(), "set-candidates")
+    left = classes.select(F.xxhash64("sid").alias("rh"), F.col("sid").alias("rid"), F.col("toks").alias("rt"))
+    right = classes.select(F.xxhash64("sid").alias("sh"), "sid", F.col("toks").alias("st"))
+    apart = (F.col("rh") != F.col("sh")) | (F.col("sid") < F.col("rid"))
+    both = found.join(left, "rh").join(right, "sh").where(apart).select(
         "rid", "sid", F.size(F.array_intersect("rt", "st")).alias("shared"), F.size("rt").alias("size_r"), F.size("st").alias("size_s")
     )
     return both.where(F.col("shared") * (num + den) >= (F.col("size_r") + F.col("size_s")) * num)

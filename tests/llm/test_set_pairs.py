@@ -12,7 +12,7 @@ def frame(sets):
     for s in sets.values():
         for t in s:
             counts[t] = counts.get(t, 0) + 1
-    rows = [(k, len(s), sorted(s), [counts[t] for t in sorted(s)]) for k, s in sets.items()]
+    rows = [(n, len(s), sorted(s), [counts[t] for t in sorted(s)]) for n, s in enumerate(sets.values())]
     return pd.DataFrame(rows, columns=["sid", "size", "tokens", "counts"])
 
 
@@ -20,7 +20,8 @@ def candidates(sets, num=7, den=10):
     pdf = frame(sets)
     index = pd.concat(S._index(num, den, len(pdf))(iter([pdf])))
     probe = pd.concat(S._probe(num, den, len(pdf))(iter([pdf])))
-    return {tuple(sorted(p)) for p in probe.merge(index, on=["sig", "salt"])[["sid", "rid"]].itertuples(index=False) if p[0] != p[1]}
+    names, pairs = list(sets), probe.merge(index, on="sig")[["sid", "rid"]].drop_duplicates()
+    return {tuple(sorted((names[a], names[b]))) for a, b in pairs.itertuples(index=False) if a != b}
 
 
 @pytest.mark.parametrize("size", [20, 64, 232, 350, 600])
