@@ -3,7 +3,8 @@
 A window without partitions puts all rows in one task, one over a hot group puts that group in
 one. Here rows are sorted by ranges over all tasks, numbered within their range, and shifted by
 the sizes of the ranges before. Ties get different ranks in an order that depends on how rows
-lie, so keys should be unique where it matters. Null keys come first.
+lie, so keys should be unique where it matters. Null keys come first. The input is read twice,
+once to find the ranges: costly expressions are better written before.
 """
 
 from __future__ import annotations

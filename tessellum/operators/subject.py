@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tessellum.functions import text as T
 from tessellum.operators import ordering
+from tessellum.session import spread
+from tessellum.sources.scratch import cut
 
 FRACTION = 100  # cells that vote; the last cell of a column never does
 KINDS = ("long_text", "named_entity", "number", "date", "empty", "other")
@@ -69,7 +71,8 @@ def columns(df: DataFrame, table: str, col: str, vals: str) -> DataFrame:
     cells, share of empty ones, variance of the counts of words but stop words (entities only),
     mean words, and whether the mean is below 20 words (an entity by the sampling rule)."""
     stop = _stop_words()
-    cells = df.select(F.col(table).alias("f"), F.col(col).alias("col_id"), cells_of(F.col(vals)).alias("cells"))
+    rows = spread(df.select(F.col(table).alias("f"), F.col(col).alias("col_id"), F.col(vals).alias("vals")))
+    cells = rows.select("f", "col_id", cells_of(F.col("vals")).alias("cells"))
     n = F.size("cells")
     voted = F.slice("cells", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(FRACTION), n - 1)))
     votes = cells.withColumns({"n": n, "voted": voted}).withColumn("votes", F.transform("voted", lambda c: _vote(c, stop)))
@@ -109,7 +112,8 @@ def columns(df: DataFrame, table: str, col: str, vals: str) -> DataFrame:
         (total(F.transform("present", lambda c: F.size(F.split(F.trim(c), r"\s+")))) < 20 * F.size("present")).alias("entity"),
     )
     tlc = F.when(F.col("kind") != "named_entity", 0.0).otherwise(F.try_divide(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - 1))
-    typed = typed.select("f", "col_id", "kind", "n", "emc", tlc.alias("tlc"), "vt", "entity")
+    # written before it is ranked: a sort by ranges reads its input twice
+    typed = cut(typed.select("f", "col_id", "kind", "n", "emc", tlc.alias("tlc"), "vt", "entity"), "typed")
     ranked = ordering.group_rank(typed, "f", ["col_id"], "idx")
     return ranked.select("f", "col_id", "idx", "kind", "n", "emc", "tlc", "vt", "entity")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str | None = None, app: str = "tessellum", **conf: str) -> SparkSession:
@@ -36,3 +36,10 @@ def tasks(spark: SparkSession) -> int:
     three for each core. A number given to ``repartition`` keeps adaptive execution from
     merging a small input into one task."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to more tasks if its files make fewer than there are cores: for costly
+    expressions over small files. Larger inputs stay as they are and are not shuffled."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks(df.sparkSession)) if few else df
