@@ -181,6 +181,14 @@ def p_acr(s, d):
     return cells(s, d).select("col_id", F.col("pos").cast("long").alias("pos"), T.is_acronym(F.col("cell")).alias("is_acronym"))
 
 
+@query(f"""with {CELLS_SQL} select col_id, pos, coalesce(try_cast(replace(cell, '%', '') as double) is null, true) and length(regexp_replace(cell, '[!-/:-@\\[-`{{-~A-Za-z \\t\\n\\x0b\\f\\r]', '', 'g')) > 0 is_id
+    from cells where not regexp_matches(cell, '[dDfF_]|[^ -~]')""")
+def p_id(s, d):
+    """No number, but digits are left; the same cells as in ``p_num``."""
+    plain = cells(s, d).where(~F.col("cell").rlike("[dDfF_]|[^ -~]"))
+    return plain.select("col_id", F.col("pos").cast("long").alias("pos"), T.is_id(F.col("cell")).alias("is_id"))
+
+
 @query(f"with {CELLS_SQL} select col_id, pos, coalesce(regexp_matches(cell, '[0-9]'), false) has_digit from cells")
 def p_hasnum(s, d):
     return cells(s, d).select("col_id", F.col("pos").cast("long").alias("pos"), T.has_digit(F.col("cell")).alias("has_digit"))
