@@ -10,7 +10,11 @@ apart (t = 1: its segment against both kinds, and its own deletions against the
 It makes the cheapest choice that reaches the sum, a look-up costing the records of the
 segment's rarest token, so that frequent tokens and empty segments are looked up only where
 nothing else would do; spare segments make that rare at any size. Signatures of frequent
-tokens alone are salted. Candidates are verified on the sets themselves; nothing is missed.
+tokens alone are salted: the many sets that leave one are dealt out, the few look-ups repeated.
+Sets of frequent tokens share signatures more and more often as the records grow, so each
+signature travels with a sketch of its set, 64 bits of which a token turns one over: the
+sketches of two sets differ in no more bits than the sets in tokens. Only what passes this
+becomes a candidate, and is verified on the sets themselves; nothing is missed.
 
 Records with equal sets are one class: candidates are found between classes, and copies are
 attached again at the end. Sets that no other set's size could match are left out before any
@@ -101,20 +105,36 @@ def salted(sig: int, salt: int) -> int:
     return ((sig + (1 << 63) + salt * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) - (1 << 63)
 
 
+def sketch(tokens: list[int]) -> int:
+    """A bit for each 64th of the tokens: whether their number is odd."""
+    bits = 0
+    for t in tokens:
+        bits ^= 1 << (t & 63)
+    return bits - ((bits >> 63) << 64)
+
+
+def alike(num: int, den: int) -> Column:
+    """Whether the sketches differ in no more bits than similar sets of these sizes in tokens."""
+    total = F.col("size") + F.col("rsize")
+    both = F.floor((num * total + (num + den - 1)) / F.lit(num + den))
+    return F.bit_count(F.col("sketch").bitwiseXOR(F.col("rsketch"))) <= total - 2 * both
+
+
 def _index(num: int, den: int, total: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for sid, size, tokens, counts in zip(pdf["sid"], pdf["size"], pdf["tokens"], pdf["counts"]):
                 low, high = size_class(int(size), num, den)
-                m = segments(low, high, num, den)
-                for k, seg in enumerate(_split(list(map(int, tokens)), list(map(int, counts)), m, low)):
+                m, sid, tokens = segments(low, high, num, den), int(sid), list(map(int, tokens))
+                bits = sketch(tokens)
+                for k, seg in enumerate(_split(tokens, list(map(int, counts)), m, low)):
                     kinds = [(_exact(low, k, seg), seg)]
                     for i in range(len(seg)):
                         left = seg[:i] + seg[i + 1 :]
                         kinds.append((_deleted(low, k, left), left))
-                    rows.extend((salted(sig, salt), sid, size) for sig, of in kinds for salt in range(salts(of, total)))
-            yield pd.DataFrame(rows, columns=["sig", "sid", "size"])
+                    rows.extend((salted(sig, sid % salts(of, total)), sid, size, bits) for sig, of in kinds)
+            yield pd.DataFrame(rows, columns=["sig", "sid", "size", "sketch"])
 
     return run
 
@@ -136,14 +156,15 @@ def _probe(num: int, den: int, total: int):
         for pdf in batches:
             rows = []
             for sid, size, tokens, counts in zip(pdf["sid"], pdf["size"], pdf["tokens"], pdf["counts"]):
-                size, sid = int(size), int(sid)
+                size, sid, tokens, counts = int(size), int(sid), list(map(int, tokens)), list(map(int, counts))
+                bits = sketch(tokens)
                 least = -(-num * size // den)  # the smallest size that can match
                 low, high = size_class(size, num, den)
                 while high >= least and low >= 1:
                     partner = min(high, size)
                     most = most_differ(size + max(low, least), size + partner, num, den)
                     m = segments(low, high, num, den)
-                    segs = _split(list(map(int, tokens)), list(map(int, counts)), m, low)
+                    segs = _split(tokens, counts, m, low)
                     costs = []
                     for seg in segs:
                         rarest = min((c for _, c in seg), default=total)
@@ -159,22 +180,22 @@ def _probe(num: int, den: int, total: int):
                                 left = seg[:i] + seg[i + 1 :]
                                 kinds.append((_exact(low, k, left), left))
                         for sig, of in kinds:
-                            rows.append((salted(sig, sid % salts(of, total)), sid, size))
+                            rows.extend((salted(sig, salt), sid, size, bits) for salt in range(salts(of, total)))
                     if low == 1:
                         break
                     low, high = size_class(low - 1, num, den)
-            yield pd.DataFrame(rows, columns=["sig", "rid", "rsize"])
+            yield pd.DataFrame(rows, columns=["sig", "rid", "rsize", "rsketch"])
 
     return run
 
 
 def sets(df: DataFrame, record: str, value: str | Column, least: int, threshold: tuple[int, int] = (7, 10)) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): ``members`` (record, sid) and ``classes`` (sid, size, toks, tokens,
-    counts) of the sets that take part; equal sets share ``sid``."""
+    """(members, classes): ``members`` (record, sid) and ``classes`` (id, sid, size, toks, tokens,
+    counts) of the sets that take part; equal sets share ``sid``, and ``id`` is as unique."""
     num, den = threshold
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(F.col(record).cast("string").alias("record"), value.alias("value"))
-    rows = cut(rows.where("record is not null and value is not null").distinct(), "set-rows")
+    rows = cut(rows.where("record is not null and value is not null").distinct(), "set-rows", clean=True)
     sizes = rows.groupBy("record").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     # the distinct sizes are few (their number is at most the root of twice the rows)
     near = W.orderBy("size")
@@ -187,8 +208,8 @@ def sets(df: DataFrame, record: str, value: str | Column, least: int, threshold:
         ).alias("alive"),
     )
     sizes = sizes.join(alive.where("alive"), "size").select("record", "size")
-    used = cut(rows.join(sizes, "record"), "set-used")
-    counts = cut(used.groupBy("value").agg(F.count("*").alias("n")), "set-counts")
+    used = cut(rows.join(sizes, "record"), "set-used", clean=True)
+    counts = cut(used.groupBy("value").agg(F.count("*").alias("n")), "set-counts", clean=True)
     # values in more than a thousandth of the rows are under a thousand: these are joined where
     # their rows are, so that no task gets all rows of a frequent value
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -202,15 +223,16 @@ def sets(df: DataFrame, record: str, value: str | Column, least: int, threshold:
         .agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("all"))
         .select("record", "size", F.col("all.value").alias("toks"), F.col("all.n").alias("counts"))
     )
-    gathered = cut(gathered, "sets")
+    gathered = cut(gathered, "sets", clean=True)
     classes = cut(
         gathered.groupBy("toks")
         .agg(F.min("record").alias("sid"), F.first("size").alias("size"), F.first("counts").alias("counts"))
-        .select("sid", "size", "toks", F.transform("toks", lambda t: F.xxhash64(t)).alias("tokens"), "counts"),
+        .select(F.monotonically_increasing_id().alias("id"), "sid", "size", "toks", F.transform("toks", lambda t: F.xxhash64(t)).alias("tokens"), "counts"),
         "set-classes",
+        clean=True,
     )
     members = gathered.join(classes.select("sid", "toks"), "toks").select("record", "sid")
-    members = cut(members, "set-members")
+    members = cut(members, "set-members", clean=True)
     for d in (rows, used, counts, gathered):
         drop(d)
     return members, classes
@@ -220,18 +242,17 @@ def class_pairs(classes: DataFrame, threshold: tuple[int, int] = (7, 10)) -> Dat
     """(rid, sid, shared, size_r, size_s): pairs of different sets that are similar enough."""
     num, den = threshold
     total = max(1, classes.count())
-    # signatures travel with a hash for the set; two sets of one hash are told apart below
-    slim = classes.select(F.xxhash64("sid").alias("sid"), "size", "tokens", "counts").repartition(tasks(classes.sparkSession), "sid")
-    index = slim.mapInPandas(_index(num, den, total), "sig long, sid long, size int")
-    probe = slim.mapInPandas(_probe(num, den, total), "sig long, rid long, rsize int")
-    once = (F.col("size") < F.col("rsize")) | ((F.col("size") == F.col("rsize")) & (F.col("sid") <= F.col("rid")))
+    # signatures travel with a number for the set, which was written once and so stays the same
+    slim = classes.select(F.col("id").alias("sid"), "size", "tokens", "counts").repartition(tasks(classes.sparkSession), "sid")
+    index = slim.mapInPandas(_index(num, den, total), "sig long, sid long, size int, sketch long")
+    probe = slim.mapInPandas(_probe(num, den, total), "sig long, rid long, rsize int, rsketch long")
+    once = (F.col("size") < F.col("rsize")) | ((F.col("size") == F.col("rsize")) & (F.col("sid") < F.col("rid")))
     fits = F.col("size") * den >= F.col("rsize") * num
-    hit = probe.join(index, "sig").where(once & fits)
-    found = cut(hit.select(F.col("rid").alias("rh"), F.col("sid").alias("sh")).distinct(), "set-candidates")
-    left = classes.select(F.xxhash64("sid").alias("rh"), F.col("sid").alias("rid"), F.col("toks").alias("rt"))
-    right = classes.select(F.xxhash64("sid").alias("sh"), "sid", F.col("toks").alias("st"))
-    apart = (F.col("rh") != F.col("sh")) | (F.col("sid") < F.col("rid"))
-    both = found.join(left, "rh").join(right, "sh").where(apart).select(
+    hit = probe.join(index, "sig").where(once & fits & alike(num, den))
+    found = cut(hit.select(F.col("rid").alias("rh"), F.col("sid").alias("sh")).distinct(), "set-candidates", clean=True)
+    left = classes.select(F.col("id").alias("rh"), F.col("sid").alias("rid"), F.col("toks").alias("rt"))
+    right = classes.select(F.col("id").alias("sh"), "sid", F.col("toks").alias("st"))
+    both = found.join(left, "rh").join(right, "sh").select(
         "rid", "sid", F.size(F.array_intersect("rt", "st")).alias("shared"), F.size("rt").alias("size_r"), F.size("st").alias("size_s")
     )
     return both.where(F.col("shared") * (num + den) >= (F.col("size_r") + F.col("size_s")) * num)

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _written: dict[str, set[str]] = {}
 
@@ -47,11 +48,19 @@ def new_path(spark: SparkSession, name: str = "cut") -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` computed once, written, and read again."""
+def cut(df: DataFrame, name: str = "cut", clean: bool = False) -> DataFrame:
+    """``df`` computed once, written, and read again. With ``clean`` its shuffle files are
+    deleted as soon as it is written, else when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    if clean:
+        spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessellum_path = path
     return out

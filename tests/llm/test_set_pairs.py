@@ -72,3 +72,39 @@ def test_empty_and_repeated_records(spark):
     rows = [(r, v) for r in ("x", "y") for v in "abc"] * 2 + [("z", None), (None, "a")]
     members, classes = S.sets(spark.createDataFrame(rows, "record string, v string"), "record", F.col("v"), 2)
     assert [tuple(r) for r in S.record_pairs(members, S.class_pairs(classes)).collect()] == [("x", "y")]
+
+
+def test_signatures_of_frequent_tokens_are_left_once(monkeypatch):
+    rng = random.Random(4)
+    pdf = frame({f"s{i}": set(rng.sample(range(1 << 40, (1 << 40) + 40), rng.randrange(6, 15))) for i in range(200)})
+    rows = len(pd.concat(S._index(7, 10, len(pdf))(iter([pdf]))))
+    monkeypatch.setattr(S, "SALT_RECORDS", 2)
+    assert len(pd.concat(S._index(7, 10, len(pdf))(iter([pdf])))) == rows
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = random.Random(6)
+    for _ in range(500):
+        a, b = ({rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(40))} for _ in range(2))
+        b |= set(rng.sample(sorted(a), rng.randrange(len(a) + 1)))
+        assert -(1 << 63) <= S.sketch(sorted(a)) < 1 << 63
+        assert ((S.sketch(sorted(a)) ^ S.sketch(sorted(b))) & ((1 << 64) - 1)).bit_count() <= len(a ^ b)
+
+
+def test_sets_of_frequent_tokens_are_few_candidates(spark, monkeypatch):
+    sizes, cut = {}, S.cut
+
+    def counted(df, name, **more):
+        out = cut(df, name, **more)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "cut", counted)
+    rng = random.Random(8)
+    sets = {f"s{i:03}": frozenset(rng.sample(range(16), rng.randrange(6, 13))) for i in range(300)}
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(n, f"t{t}") for n, s in sets.items() for t in s], "record string, v string")
+    members, classes = S.sets(df, "record", "v", 5)
+    assert {tuple(r) for r in S.record_pairs(members, S.class_pairs(classes)).collect()} == want
+    assert len(want) > 300
+    assert sizes["set-candidates"] < 4 * len(want)
