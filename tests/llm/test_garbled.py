@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessellum.llm import garbled as G
 
 
@@ -28,3 +30,20 @@ def test_nothing_and_long_texts(spark):
     assert {r.record for r in G.affected(fields, G.judge(fields)).collect()} == {5}
     none = G.long_fields(df.where("id < 0"), "id", ["text"])
     assert G.affected(none, G.judge(none)).count() == 0
+
+
+def test_margins_and_floor_come_from_all_clean_tokens(spark, monkeypatch):
+    seen, validate = {}, G.validate
+
+    def noted(measured):
+        seen.update({r.what: r.n for r in measured.groupBy("what").agg(F.count("*").alias("n")).collect()})
+        seen["floor value"] = validate(measured)[1]
+        letters = sorted(r.likely for r in measured.where("what = 'floor'").collect())
+        assert seen["floor value"] == letters[len(letters) // 200]
+        return validate(measured)
+
+    monkeypatch.setattr(G, "validate", noted)
+    rows = [(i, f"Größe{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}ß") for i in range(1500)]
+    fields = G.long_fields(spark.createDataFrame(rows, "id long, text string"), "id", ["text"])
+    assert G.judge(fields).count() == 0
+    assert seen["floor"] == seen["spoilt+"] == 1500
